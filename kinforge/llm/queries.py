@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinforge.llm import bpe, minhash, packing, warc
+from kinforge.llm import bpe, minhash, packing, substring, warc
 from kinforge.llm._store import table
 
 
@@ -18,6 +18,10 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_warc_round_trip, op8_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_warc_round_trip, op6_substring_dedup, op8_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
