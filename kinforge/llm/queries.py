@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinforge.llm import bpe, minhash, packing, substring, warc
+from kinforge.llm import bpe, lbl, minhash, packing, substring, warc
 from kinforge.llm._store import table
 
 
@@ -22,6 +22,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.scores(table(spark, sf_dir, "documents"), copy=False)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_warc_round_trip, op6_substring_dedup, op8_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_warc_round_trip, op6_substring_dedup, op7_lbl_scores, op8_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
