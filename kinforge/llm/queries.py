@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinforge.llm import bpe, lbl, minhash, packing, substring, warc
+from kinforge.llm import bpe, decontam, lbl, minhash, packing, substring, warc
 from kinforge.llm._store import table
 
 
@@ -30,12 +30,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=0.8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_warc_round_trip, op6_substring_dedup, op7_lbl_scores, op8_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_warc_round_trip, op6_substring_dedup, op7_lbl_scores, op8_best_fit_packing, op9_benchmark_leaks, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
