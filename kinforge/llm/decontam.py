@@ -34,7 +34,7 @@ _RESULT = "doc_id long, item_id long, start long, `end` long, edits int"
 
 
 @lru_cache(maxsize=1)
-def _folds() -> tuple[np.ndarray, np.ndarray]:
+def folds() -> tuple[np.ndarray, np.ndarray]:
     """Lower-case form of each code point, and whether it belongs to a word."""
     low = np.arange(0x110000, dtype=np.uint32)
     word = np.zeros(0x110000, dtype=bool)
@@ -50,7 +50,7 @@ def _folds() -> tuple[np.ndarray, np.ndarray]:
 
 def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded code points of all texts (each ends in a 0), the place of each in its text, each one's text, and where texts begin."""
-    low, word = _folds()
+    low, word = folds()
     code = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), dtype=np.uint32)
     size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     begin = np.cumsum(size) - size
