@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinforge.llm import bpe, crf, decontam, langid, lbl, minhash, packing, substring, warc
+from kinforge.llm import bpe, crf, decontam, embed, langid, lbl, minhash, packing, substring, warc
 from kinforge.llm._store import table
 
 
@@ -26,6 +26,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -47,7 +51,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_crf_quality, op3_warc_round_trip, op4_language_id, op6_substring_dedup, op7_lbl_scores, op8_best_fit_packing, op9_benchmark_leaks, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_crf_quality, op3_warc_round_trip, op4_language_id, op5_embedding_near_dedup, op6_substring_dedup, op7_lbl_scores, op8_best_fit_packing, op9_benchmark_leaks, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
