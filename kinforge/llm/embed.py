@@ -161,17 +161,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
                     keep &= blk[s:e][a] != blk[s:e][b]
                 keep &= label[s:e][a] == label[s:e][b]
                 a, b = a[keep], b[keep]
-                for k in range(0, len(a), 4096):
-                    p, q = a[k : k + 4096], b[k : k + 4096]
-                    used, inverse = np.unique(np.concatenate((p, q)), return_inverse=True)
-                    keys = _label_key(buckets(x[used]), label[s:e][used])
-                    first, key = owners(keys[inverse[: len(p)]], keys[inverse[len(p) :]])
-                    here = (first == table[s]) & (key == bucket[s])
-                    p, q = p[here] + s, q[here] + s
-                    for u, v, cu, cv, lab in zip(ids[p].tolist(), ids[q].tolist(), copies[p].tolist(), copies[q].tolist(), label[p].tolist()):
-                        links[u, lab] = links.get((u, lab), 0) + cv
-                        links[v, lab] = links.get((v, lab), 0) + cu
-                        forest.join(u, v)
+                if not len(a):
+                    continue
+                used, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
+                keys = _label_key(buckets(x[used]), label[s:e][used])
+                p, q = inverse[: len(a)], inverse[len(a) :]
+                here = np.zeros(len(p), dtype=bool)
+                for k in range(0, len(p), 1 << 14):
+                    first, key = owners(keys[p[k : k + (1 << 14)]], keys[q[k : k + (1 << 14)]])
+                    here[k : k + (1 << 14)] = (first == table[s]) & (key == bucket[s])
+                p, q = p[here], q[here]
+                mine = ids[s:e][used]
+                gained = np.bincount(p, weights=copies[s:e][used][q], minlength=len(used)) + np.bincount(q, weights=copies[s:e][used][p], minlength=len(used))
+                for u, lab, n in zip(mine.tolist(), label[s:e][used].tolist(), gained.astype(np.int64).tolist()):
+                    if n:
+                        links[u, lab] = links.get((u, lab), 0) + n
+                for u, v in zip(mine[p].tolist(), mine[q].tolist()):
+                    forest.join(u, v)
         f = forest.edges()
         n = len(links)
         a = pa.concat_arrays([pa.array([u for u, _ in links], pa.int64()), f["a"]])
