@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, mix, powers, prefix, text_slices
+from kinforge.llm._rows import rows_kept
 from kinforge.llm.bpe import texts_of
 
 RATE = 0.1
@@ -207,21 +208,46 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, start, end (in characters of the document's text) and edits of each leaked passage."""
-    spark = docs.sparkSession
+def _blocks(spark, benchmark: DataFrame):
+    """Broadcasts of the items' blocks, one after the other."""
     items = benchmark.select("item_id", "text").filter("length(text) > 0")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about BLOCK_CHARS characters
-        index = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part])
-        found = docs.select("doc_id", "text").mapInArrow(_finder(index, rate), _RESULT)
+        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """doc_id, item_id, start, end (in characters of the document's text) and edits of each leaked passage."""
+    out = None
+    for items in _blocks(docs.sparkSession, benchmark):
+        found = docs.select("doc_id", "text").mapInArrow(_finder(items, rate), _RESULT)
         out = found if out is None else out.union(found)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """Rows of ``docs`` (text and others) into which no item leaks."""
+    for items in _blocks(docs.sparkSession, benchmark):
+        docs = rows_kept(docs, _without(items, rate))
+    return docs
+
+
+def _without(items, rate: float):
+    def mask():
+        index = Index(items.value, rate)
+
+        def keep(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.ones(batch.num_rows, dtype=bool)
+            out[[r[0] for r in matches(index, texts_of(batch["text"]))]] = False
+            return out
+
+        return keep
+
+    return mask
+
+
 def _finder(items, rate: float):
     def run(batches):
         index = Index(items.value, rate)

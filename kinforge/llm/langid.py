@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, mix, prefix, segment_hash, text_slices
+from kinforge.llm._rows import rows_kept
 from kinforge.llm.bpe import _LETTER, char_classes, texts_of
 from kinforge.llm.decontam import folds
 
@@ -244,3 +245,25 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<first: int, words: int, lang: string>>"
     return docs.select("doc_id", "text").withColumn("held_out", held_out()).mapInArrow(run, schema)
+
+
+def recognised(docs: DataFrame, least: float) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, lang and others) with a language of score ``least`` or more.
+
+    If nothing could be learned, those with a letter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
+
+    def mask():
+        m = shared.value
+
+        def keep(batch: pa.RecordBatch) -> np.ndarray:
+            f = Letters(texts_of(batch["text"]))
+            if not m.languages:
+                return np.diff(f.first) > 0
+            _, lang, score = label(m, f)
+            return (lang >= 0) & (score >= least)
+
+        return keep
+
+    return rows_kept(docs, mask)

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, Words, mix, text_slices
@@ -302,3 +302,18 @@ def _result(sketches: DataFrame, ids: DataFrame, classes: DataFrame, linked: Dat
     out = sketches.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text and others) that stay: of each component the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows without a doc_id stay all.
+    """
+    gone = written(near_duplicates(docs, k, threshold).filter("NOT kept").select("doc_id").distinct(), "gone")
+    stay = docs.join(gone, "doc_id", "left_anti")
+    again = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "ids-again")
+    if not again.limit(1).count():
+        return stay
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    one = stay.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    return stay.join(again, "doc_id", "left_anti").unionByName(one)
