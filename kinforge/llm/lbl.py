@@ -201,13 +201,16 @@ def fit(docs: DataFrame, totals: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
                 t, first = tokens(batch["text"])
                 ids = _symbols(t, words).astype(np.uint16)
                 parts += [ids[i:j] for i, j in zip(first[:-1], first[1:])]
+        parts.sort(key=bytes)  # the rows come in any order
         first = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         ids = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
         weights = train(ids, first, unigram)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in weights], pa.binary()), pa.array(range(4))], ["weights", "place"])
 
     # one task reads the bounded sample and trains, with one thread, away from the driver
-    sample = docs.filter(~F.col("held_out")).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs)
+    keyed = docs.filter(~F.col("held_out")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    chosen = keyed.select("doc_id", "key").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(sample_docs).select("key").distinct()
+    sample = keyed.join(F.broadcast(chosen), "key")  # sample_docs keys at most
     rows = sample.select("text").repartition(1).mapInArrow(learn, "weights binary, place long").collect()
     target, far, near, bias = (np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(rows, key=lambda r: r["place"]))
     return Model(words, int(n), int(v), float(other), *(x.reshape(-1, DIMENSIONS) for x in (target, far, near)), bias)
