@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -160,6 +161,20 @@ class Words:
         return self._hash
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def free_memory() -> None:
+    """Give unused memory back: a worker lives on from stage to stage, beside others."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
     """Slices of a batch with about ``limit`` bytes of text each; one row at least."""
     sizes = batch[column].cast(pa.large_string())
@@ -170,3 +185,4 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
         to = min(to, at + 20_000, batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    free_memory()

@@ -17,7 +17,7 @@ def rows_kept(docs: DataFrame, mask: Callable[[], Callable[[pa.RecordBatch], np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = mask()
         for big in batches:
-            for batch in text_slices(big, "text", 1 << 20):
+            for batch in text_slices(big, "text", 1 << 19):
                 yield batch.filter(pa.array(keep(batch)))
 
     return docs.mapInArrow(run, docs.schema)

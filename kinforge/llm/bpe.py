@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from kinforge.llm._arrays import HashTable, mix, prefix, segment_hash
+from kinforge.llm._store import bounded_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: How the vocabulary splits words; Encoder.spans does the same for whole arrays.
@@ -326,6 +327,7 @@ def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         enc = encoder(vocabulary_path(vocabulary))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import Words, byte_values, prefix, segment_hash, text_slices
+from kinforge.llm._store import bounded_batches
 
 SAMPLE_DOCS = 4000
 THRESHOLD = 0.3
@@ -229,6 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, mix, powers, prefix, text_slices
 from kinforge.llm._rows import rows_kept
+from kinforge.llm._store import bounded_batches
 from kinforge.llm.bpe import texts_of
 
 RATE = 0.1
@@ -210,6 +211,7 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
 
 def _blocks(spark, benchmark: DataFrame):
     """Broadcasts of the items' blocks, one after the other."""
+    bounded_batches(spark)
     items = benchmark.select("item_id", "text").filter("length(text) > 0")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))

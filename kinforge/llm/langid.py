@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, mix, prefix, segment_hash, text_slices
 from kinforge.llm._rows import rows_kept
+from kinforge.llm._store import bounded_batches
 from kinforge.llm.bpe import _LETTER, char_classes, texts_of
 from kinforge.llm.decontam import folds
 
@@ -100,11 +101,12 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     """Counts over every row of ``docs`` (doc_id, text, lang) that is not held out and has a lang."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for big in batches:
-            for batch in text_slices(big, "text", 1 << 20):
+            for batch in text_slices(big, "text", 1 << 19):
                 f = Letters(texts_of(batch["text"]))
                 langs = pc.dictionary_encode(batch["lang"])
                 per_doc = np.diff(f.first)
@@ -224,7 +226,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches):
         m = shared.value
         for big in batches:
-            for batch in text_slices(big, "text", 1 << 20):
+            for batch in text_slices(big, "text", 1 << 19):
                 f = Letters(texts_of(batch["text"]))
                 path, lang, score = label(m, f)
                 spans = []

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, Words, text_slices
-from kinforge.llm._store import free_shuffles, fresh_path, written
+from kinforge.llm._store import bounded_batches, free_shuffles, fresh_path, written
 
 SHORTLIST = 1024
 DIMENSIONS, NOISE, BATCH, STEPS, RATE = 24, 256, 1024, 2500, 0.15
@@ -221,6 +221,7 @@ def scores(docs: DataFrame, folds: int = 10, copy: bool = True) -> DataFrame:
 
     ``copy=False`` is for a plain scan of files; anything else is written to files first.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
     if copy:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, Words, mix, text_slices
-from kinforge.llm._store import drop, free_shuffles, written
+from kinforge.llm._store import bounded_batches, drop, free_shuffles, written
 from kinforge.llm.components import Forest, components, whole_groups
 
 HASHES, BANDS, BATCH = 128, 32, 32
@@ -285,6 +285,7 @@ def links(docs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFra
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     sketches = written(sketch(docs, k), "sketch")
     some = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))

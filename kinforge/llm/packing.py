@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinforge.llm._store import written
+from kinforge.llm._store import bounded_batches, written
 from kinforge.llm.bpe import VOCABULARY, crc, encoder, slices, texts_of, vocabulary_path
 
 CAPACITY = 4096
@@ -240,6 +240,7 @@ def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAP
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """Each piece of ``docs`` (doc_id, text) with its sequence_id and the offset there."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     pieces = written(pieces_of(docs, vocabulary, capacity), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)

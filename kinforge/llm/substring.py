@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, Words, mix, prefix, segment_hash, text_slices
-from kinforge.llm._store import drop, free_shuffles, written
+from kinforge.llm._store import bounded_batches, drop, free_shuffles, written
 
 WINDOW = 35
 ANCHOR = 10
@@ -137,6 +137,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, columns:
 
     kept_text has the kept words joined by one space; a text that loses nothing stays as it is.
     """
+    bounded_batches(docs.sparkSession)
     runs = repeated(docs, window, anchor)
     source = _keyed(docs.select(*dict.fromkeys(("doc_id", "text", *columns))))
     joined = source.join(runs, _same(source, runs), "left").select(*dict.fromkeys(("text", *columns)), "runs")
