@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
 import tempfile
 import uuid
 
@@ -63,8 +62,8 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to a size that holds whole texts in bounded memory; never raises them."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.match(r"-?\d+", spark.conf.get(key, "0"))
-        if not 0 < int(now[0]) <= most:
+        now = spark.conf.get(key)
+        if not 0 < (spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) if now[0] != "-" else -1) <= most:
             spark.conf.set(key, str(most))
 
 
