@@ -212,7 +212,10 @@ def fit(docs: DataFrame, totals: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     chosen = keyed.select("doc_id", "key").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(sample_docs).select("key").distinct()
     sample = keyed.join(F.broadcast(chosen), "key")  # sample_docs keys at most
     rows = sample.select("text").repartition(1).mapInArrow(learn, "weights binary, place long").collect()
-    target, far, near, bias = (np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(rows, key=lambda r: r["place"]))
+    if rows:
+        target, far, near, bias = (np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(rows, key=lambda r: r["place"]))
+    else:  # no training document at all
+        target, far, near, bias = train(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), unigram)
     return Model(words, int(n), int(v), float(other), *(x.reshape(-1, DIMENSIONS) for x in (target, far, near)), bias)
 
 
