@@ -1,4 +1,4 @@
-"""Date values of family-tree files: kind, bounds, month and precision, as column expressions.
+"""Date values of family-tree files: kind, bounds, month and precision, read in Arrow batches, and column functions of years.
 
 A value is a qualifier and one or two dates. Each date has an optional calendar escape, day, month and
 year; a dual year (1723/24) means its second number, B.C. years are negative, Hebrew and French
@@ -7,6 +7,10 @@ Republican years are turned into the Gregorian years in which they can lie.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,60 +19,78 @@ _HEBREW_EARLY = ["TSH", "CSH", "KSL"]
 _FRENCH_EARLY = ["VEND", "BRUM", "FRIM"]
 _HEBREW = ["TSH", "CSH", "KSL", "TVT", "SHV", "ADR", "ADS", "NSN", "IYR", "SVN", "TMZ", "AAV", "ELL"]
 _FRENCH = ["VEND", "BRUM", "FRIM", "NIVO", "PLUV", "VENT", "GERM", "FLOR", "PRAI", "MESS", "THER", "FRUC", "COMP"]
-_DATE = r"^(?:@#D([A-Z ]+)@\s*)?(?:(?:(\d{1,2})\s+)?([A-Z]{3,4})\s+)?(\d{1,4})(?:/(\d{2,4}))?(\s*B\.?C\.?)?$"
+_DATE = r"(?:@#D([A-Z ]+)@\s*)?(?:(?:(\d{1,2})\s+)?([A-Z]{3,4})\s+)?(\d{1,4})(?:/(\d{2,4}))?(\s*B\.?C\.?)?"
 FLOOR_YEAR = 1000
 
 
-def _half(text: Column) -> dict[str, Column]:
-    part = lambda k: F.regexp_extract(text, _DATE, k)
-    calendar = F.when(part(1) == "", "GREGORIAN").otherwise(part(1))
-    number = F.when(text.rlike(_DATE), part(4)).otherwise(None)
-    year = F.nullif(number, F.lit("")).cast("int")
-    dual = F.nullif(part(5), F.lit(""))
-    second = F.when(F.length(dual) == 2, F.floor(year / 100).cast("int") * 100 + dual.cast("int")).otherwise(dual.cast("int"))
-    second = F.when(second < year, second + 100).otherwise(second)
-    year2 = F.coalesce(second, year)
-    month = F.nullif(part(3), F.lit(""))
-    bc = part(6) != ""
-    known = F.when(calendar == "HEBREW", month.isNull() | month.isin(_HEBREW)).when(calendar == "FRENCH R", month.isNull() | month.isin(_FRENCH)).otherwise(month.isNull() | month.isin(MONTHS))
-    lo = F.when(calendar == "HEBREW", year2 - F.when(month.isNull() | month.isin([*_HEBREW_EARLY, "TVT"]), 3761).otherwise(3760))
-    lo = lo.when(calendar == "FRENCH R", year2 + F.when(month.isNull() | month.isin([*_FRENCH_EARLY, "NIVO"]), 1791).otherwise(1792)).otherwise(F.when(bc, -year2).otherwise(year2))
-    hi = F.when(calendar == "HEBREW", year2 - F.when(month.isin(_HEBREW_EARLY), 3761).otherwise(3760))
-    hi = hi.when(calendar == "FRENCH R", year2 + F.when(month.isin(_FRENCH_EARLY), 1791).otherwise(1792)).otherwise(F.when(bc, -year2).otherwise(year2))
-    ok = text.rlike(_DATE) & known & (dual.isNull() | (second - year == 1))
-    return {"ok": ok, "year": F.when(bc, -year).otherwise(year), "lo": F.when(ok, lo).cast("int"), "hi": F.when(ok, hi).cast("int"), "month": F.when(ok & (calendar != "HEBREW") & (calendar != "FRENCH R"), F.array_position(F.array(*map(F.lit, MONTHS)), month)), "day": F.nullif(part(2), F.lit(""))}
+def _half(text: str) -> dict:
+    m = re.fullmatch(_DATE, text, re.ASCII)
+    if not m:
+        return {"ok": False, "year": None, "lo": None, "hi": None, "month": None, "day": None}
+    calendar, day, month, digits, dual, bc = m[1] or "GREGORIAN", m[2], m[3], m[4], m[5], bool(m[6])
+    year = last = int(digits)
+    if dual:
+        last = year // 100 * 100 + int(dual) if len(dual) == 2 else int(dual)
+        last += 100 if last < year else 0
+    names = {"HEBREW": _HEBREW, "FRENCH R": _FRENCH}.get(calendar, MONTHS)
+    out = {"ok": (month is None or month in names) and (not dual or last - year == 1), "year": -year if bc else year, "lo": None, "hi": None, "month": None, "day": day}
+    if not out["ok"]:
+        return out
+    if calendar == "HEBREW":
+        out["lo"] = last - (3761 if month is None or month in (*_HEBREW_EARLY, "TVT") else 3760)
+        out["hi"] = last - (3761 if month in _HEBREW_EARLY else 3760)
+    elif calendar == "FRENCH R":
+        out["lo"] = last + (1791 if month is None or month in (*_FRENCH_EARLY, "NIVO") else 1792)
+        out["hi"] = last + (1791 if month in _FRENCH_EARLY else 1792)
+    else:
+        out["lo"] = out["hi"] = -last if bc else last
+        out["month"] = MONTHS.index(month) + 1 if month else None
+    return out
+
+
+@lru_cache(maxsize=100_000)
+def read_date(value: str | None, current_year: int) -> tuple:
+    """(kind, year, lo, hi, month, precision, ok) of one value, as :func:`parse` gives it."""
+    if value is None:
+        return "SIMPLE", None, None, None, None, "missing", False
+    v = value.strip(" ").upper()
+    kind, first, last = "SIMPLE", v, v
+    if m := re.fullmatch(r"BET\s+(.+)\s+AND\s+(.+)", v):
+        kind, first, last = "BETWEEN", m[1], m[2]
+    elif m := re.fullmatch(r"FROM\s+(.+)\s+TO\s+(.+)", v):
+        kind, first, last = "PERIOD", m[1], m[2]
+    elif m := re.fullmatch(r"(ABT|CAL|EST|BEF|AFT|FROM|TO|INT)\s+([^(]+?)\s*(?:\(.*\))?", v):
+        kind, first, last = m[1], m[2], m[2]
+    a, b = _half(first), _half(last)
+    if not (a["ok"] and b["ok"]):
+        runs = [y for y in map(int, re.findall(r"\b(\d{4})\b", v, re.ASCII)) if FLOOR_YEAR <= y <= current_year + 1]
+        if not runs:
+            return "PHRASE", None, None, None, None, "missing", False
+        return "PHRASE", runs[0], min(runs), max(runs), None, "approximate", False
+    lo = None if kind in ("BEF", "TO") else min(a["lo"], b["lo"])
+    hi = None if kind in ("AFT", "FROM") else max(a["hi"], b["hi"])
+    precision = "approximate" if kind != "SIMPLE" else "full" if a["day"] and a["month"] else "partial"
+    return kind, a["year"], lo, hi, a["month"], precision, True
+
+
+_PARSED = "kind string, year int, lo int, hi int, month int, precision string, ok boolean"
 
 
 def parse(value: Column, current_year: int = 2026) -> Column:
     """struct(kind, year, lo, hi, month, precision, ok): the year as written, and what bounds it allows.
 
     AFT and FROM have no upper bound, BEF and TO no lower one; a phrase has the least and greatest of its
-    plausible four-digit years; what can't be read has none.
+    plausible four-digit years; what can't be read has none. As one expression this outgrows what Spark
+    compiles, so values go to Python in Arrow batches; repeated ones are read once.
     """
-    v = F.upper(F.trim(value))
-    pick = lambda pattern, k=1: F.regexp_extract(v, pattern, k)
-    between, period = r"^BET\s+(.+)\s+AND\s+(.+)$", r"^FROM\s+(.+)\s+TO\s+(.+)$"
-    simple = r"^(ABT|CAL|EST|BEF|AFT|FROM|TO|INT)\s+([^(]+?)\s*(?:\(.*\))?$"
-    kind = F.when(v.rlike(between), "BETWEEN").when(v.rlike(period), "PERIOD").when(v.rlike(simple), pick(simple)).when(v.rlike(r"^\(.*\)$"), "PHRASE").otherwise("SIMPLE")
-    first = F.when(kind == "BETWEEN", pick(between)).when(kind == "PERIOD", pick(period)).when(v.rlike(simple), pick(simple, 2)).otherwise(v)
-    last = F.when(kind == "BETWEEN", pick(between, 2)).when(kind == "PERIOD", pick(period, 2)).otherwise(first)
-    a, b = _half(first), _half(last)
-    ok = a["ok"] & b["ok"]
-    runs = F.filter(F.transform(F.regexp_extract_all(v, F.lit(r"\b(\d{4})\b")), lambda x: x.cast("int")), lambda y: (y >= FLOOR_YEAR) & (y <= current_year + 1))
-    phrase = ~ok
-    lo = F.when(phrase, F.array_min(runs)).when(kind.isin("BEF", "TO"), None).otherwise(F.least(a["lo"], b["lo"]))
-    hi = F.when(phrase, F.array_max(runs)).when(kind.isin("AFT", "FROM"), None).otherwise(F.greatest(a["hi"], b["hi"]))
-    full = a["day"].isNotNull() & a["month"].isNotNull()
-    precision = F.when(value.isNull() | (v == ""), "missing").when(phrase, F.when(F.size(runs) > 0, "approximate").otherwise("missing")).when(kind != "SIMPLE", "approximate").when(full, "full").otherwise("partial")
-    return F.struct(
-        F.when(phrase, "PHRASE").otherwise(kind).alias("kind"),
-        F.when(phrase, F.element_at(F.when(F.size(runs) > 0, runs), 1)).otherwise(a["year"]).cast("int").alias("year"),
-        lo.cast("int").alias("lo"),
-        hi.cast("int").alias("hi"),
-        F.when(~phrase, a["month"]).cast("int").alias("month"),
-        precision.alias("precision"),
-        ok.alias("ok"),
-    )
+
+    @F.pandas_udf(_PARSED)
+    def read(values: pd.Series) -> pd.DataFrame:
+        rows = [read_date(None if v is None or v != v else v, current_year) for v in values]
+        out = pd.DataFrame(rows, columns=["kind", "year", "lo", "hi", "month", "precision", "ok"])
+        return out.astype({c: "Int32" for c in ("year", "lo", "hi", "month")})
+
+    return read(value)
 
 
 def century(year: Column) -> Column:

@@ -58,7 +58,7 @@ def jaro(a: str, b: str) -> float:
     if not m:
         return 0.0
     right = [c for c, t in zip(b, taken) if t]
-    swaps = sum(x != y for x, y in zip(left, right)) / 2
+    swaps = sum(x != y for x, y in zip(left, right)) // 2
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 

@@ -234,7 +234,9 @@ def _scored(w: World) -> DataFrame:
     return linkage.classified(linkage.scores(linkage.candidates(keys, keys, same=True), p, p))
 
 
-_NAMES = f"""SELECT a, b, round(CASE WHEN x.surname_f <> '' AND y.surname_f <> '' THEN jaro_winkler_similarity(x.surname_f, y.surname_f) END, 4) AS surname, round(CASE WHEN x.given_f <> '' AND y.given_f <> '' THEN jaro_winkler_similarity(x.given_f, y.given_f) END, 4) AS given,
+#: DuckDB compares bytes, the library code points: letters beyond ASCII that folding leaves become one byte each.
+_one = lambda x: f"translate({x}, 'ßœæø', '\x01\x02\x03\x04')"
+_NAMES = f"""SELECT a, b, round(CASE WHEN x.surname_f <> '' AND y.surname_f <> '' THEN jaro_winkler_similarity({_one('x.surname_f')}, {_one('y.surname_f')}) END, 4) AS surname, round(CASE WHEN x.given_f <> '' AND y.given_f <> '' THEN jaro_winkler_similarity({_one('x.given_f')}, {_one('y.given_f')}) END, 4) AS given,
   {_BAND.format(d='abs(x.death_year - y.death_year)')} AS death_year FROM pairs JOIN folded x ON x.id = a JOIN folded y ON y.id = b"""
 query("linkage_scores", _NAMES, _FOLD + _LINK)(lambda w: _scored(w).select("a", "b", F.round("surname", 4).alias("surname"), F.round("given", 4).alias("given"), "death_year"))
 query("linkage_classified")(lambda w: _scored(w).groupBy("class").agg(F.count("*").alias("n")))
