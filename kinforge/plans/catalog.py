@@ -205,8 +205,10 @@ query("validate_cycle_members", "SELECT DISTINCT s AS id FROM reach WHERE s = t"
 
 # --- graph
 _LINKS = ", members AS (SELECT id AS fam, husb AS m FROM families UNION ALL SELECT id, wife FROM families WHERE wife IS NOT NULL UNION ALL SELECT fam, child FROM children)"
-query("graph_components", "SELECT s AS id, least(s, min(t)) AS component FROM reach GROUP BY s UNION ALL SELECT id, id FROM people WHERE id NOT IN (SELECT s FROM reach)", _LINKS + ", near AS (SELECT DISTINCT x.m AS a, y.m AS b FROM members x JOIN members y USING (fam)), reach(s, t) AS (SELECT a, b FROM near UNION SELECT s, b FROM reach JOIN near ON t = a)")(lambda w: graph.components(w.people, graph.family_links(w.families, w.children)))
-query("graph_isolated", """SELECT component, count(*) AS size, min(id) AS first, max(id) AS last FROM (SELECT p.id, coalesce(least(p.id, min(o.m)), p.id) AS component FROM people p LEFT JOIN members a ON a.m = p.id LEFT JOIN members o ON o.fam = a.fam GROUP BY p.id) GROUP BY 1 HAVING count(*) <= 2""", _LINKS)(lambda w: graph.isolated(graph.components(w.people, graph.family_links(w.families, w.children))))
+_REACH = _LINKS + ", near AS (SELECT DISTINCT x.m AS a, y.m AS b FROM members x JOIN members y USING (fam)), reach(s, t) AS (SELECT a, b FROM near UNION SELECT s, b FROM reach JOIN near ON t = a)"
+_COMPONENTS = "SELECT s AS id, least(s, min(t)) AS component FROM reach GROUP BY s UNION ALL SELECT id, id FROM people WHERE id NOT IN (SELECT s FROM reach)"
+query("graph_components", _COMPONENTS, _REACH)(lambda w: graph.components(w.people, graph.family_links(w.families, w.children)))
+query("graph_isolated", f"SELECT component, count(*) AS size, min(id) AS first, max(id) AS last FROM ({_COMPONENTS}) GROUP BY 1 HAVING count(*) <= 2", _REACH)(lambda w: graph.isolated(graph.components(w.people, graph.family_links(w.families, w.children))))
 query("graph_ancestors_depth", "SELECT root, id, min(depth) AS depth FROM a GROUP BY 1, 2", ", a(root, id, depth) AS (SELECT id, id, 0 FROM people UNION SELECT root, parent, depth + 1 FROM a JOIN parents ON child = a.id WHERE depth < 50)")(lambda w: graph.ancestors(w.people.select(F.col("id").alias("root")), w.parents))
 query("graph_descendants_depth", "SELECT id, min(depth) AS depth FROM down GROUP BY 1", ", " + _DOWN.format(root=1))(lambda w: graph.descendants(w.people.filter("id = 1").select(F.col("id").alias("root")), w.parents).select("id", "depth"))
 query("graph_generation_depth", "SELECT id, max(depth) AS depth FROM g GROUP BY 1", ", g(id, depth) AS (SELECT id, 0 FROM people WHERE id NOT IN (SELECT child FROM parents) UNION SELECT child, depth + 1 FROM g JOIN parents ON parent = g.id)")(lambda w: graph.generation_depth(w.people, w.parents))
