@@ -9,9 +9,12 @@ The neural model knows the ``SHORTLIST`` most frequent tokens and one symbol for
 words u, v give the scores A[u] + B[v] + b, so the sums that normalise them are one matrix product,
 exp(A) exp(B + b)', for all contexts at once; token probabilities are then look-ups. A token outside the
 shortlist has the probability of the symbol for others, times its smoothed share among them. The model's
-weights are fitted on whole texts of at most ``SAMPLE_DOCS`` training documents, those with the least
-hashes of their ids, in ``STEPS`` steps; all counts, and so the shortlist, biases, noise and shares,
-come from every training document.
+weights are learned from every token of every training document: they start from ``STEPS`` steps on at
+most ``SAMPLE_DOCS`` texts (those with the least hashes of their ids), then each task follows all the
+training texts of its splits once, in steps of ``BATCH`` tokens, and the tasks' weights meet in means,
+each row weighted by how often the task moved it. So steps grow with the corpus, and what a task holds
+and hands on does not. All counts, and so the shortlist, biases, noise and shares, come from every
+training document. Weights depend on how the input is split, within the noise of training.
 
 Defined results: a null text is empty (one token, the end); rows without a doc_id are training
 documents; without any training document N and V are 0; repeated rows count each; an empty table gives
@@ -20,13 +23,14 @@ an empty one; other columns are ignored. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ from kinforge.llm._store import bounded_batches, free_shuffles, fresh_path, writ
 SHORTLIST = 1024
 DIMENSIONS, NOISE, BATCH, STEPS, RATE = 24, 256, 1024, 2500, 0.15
 SAMPLE_DOCS = 3000
+#: Tasks that add up the weights of all others before the driver gets them.
+MERGERS = 16
 ALPHA = 0.1
 END = np.uint64(0x5EED0E2D00000001)
 #: Distinct words that a counting task holds before it hands them on.
@@ -140,38 +146,143 @@ def contexts(ids: np.ndarray, first: np.ndarray, begin: int) -> tuple[np.ndarray
     return far, near
 
 
-def train(ids: np.ndarray, first: np.ndarray, unigram: np.ndarray, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weights by noise-contrastive estimation: data against shared draws from the unigram distribution, by Adagrad."""
+@dataclass
+class Weights:
+    """Targets, words before the last, last words and biases; the squares that Adagrad has summed for each, and how often each row has moved."""
+
+    values: list[np.ndarray]
+    squares: list[np.ndarray]
+    moves: list[np.ndarray]
+
+    @staticmethod
+    def start(unigram: np.ndarray, rng: np.random.Generator) -> Weights:
+        v = len(unigram)
+        values = [rng.normal(0, 0.1, (k, DIMENSIONS)).astype(np.float32) for k in (v, v + 1, v + 1)] + [np.log(unigram).astype(np.float32)]
+        return Weights(values, [np.full(x.shape, 1e-3, dtype=np.float32) for x in values], [np.zeros(len(x), dtype=np.int64) for x in values])
+
+    def step(self, y: np.ndarray, f: np.ndarray, n: np.ndarray, noise: tuple[np.ndarray, np.ndarray], log_noise: np.ndarray) -> None:
+        """One step of noise-contrastive estimation: tokens y after f, n against shared draws (tokens, how often each), by Adagrad."""
+        target, far, near, bias = self.values
+        drawn, times = noise
+        ty, td = target.take(y, 0), target.take(drawn, 0)
+        h = far.take(f, 0) + near.take(n, 0)
+        s = np.einsum("ij,ij->i", h, ty) + (bias - log_noise).take(y)
+        gs = 0.5 - 0.5 * np.tanh(0.5 * s)
+        gt = h @ td.T
+        gt += (bias - log_noise).take(drawn)
+        gt *= 0.5
+        np.tanh(gt, out=gt)
+        gt += 1
+        gt *= -0.5 * times.astype(np.float32)
+        gh = gs[:, None] * ty + gt @ td
+        of_y = np.concatenate((gs[:, None] * h, gs[:, None]), axis=1)
+        of_drawn = np.concatenate((gt.T @ h, gt.sum(axis=0)[:, None]), axis=1)
+        rows, total, moved = _by_row(np.concatenate((y, drawn)), np.concatenate((of_y, of_drawn)), np.concatenate((np.ones(len(y), dtype=np.int64), times)))
+        self._move(0, rows, total[:, :-1], moved)
+        self._move(3, rows, total[:, -1], moved)
+        for k, where in ((1, f), (2, n)):
+            self._move(k, *_by_row(where, gh, np.ones(len(y), dtype=np.int64)))
+
+    def _move(self, k: int, rows: np.ndarray, total: np.ndarray, moved: np.ndarray) -> None:
+        total = total / BATCH
+        squares = self.squares[k].take(rows, 0) + total * total
+        self.squares[k][rows] = squares
+        self.values[k][rows] += RATE * total / np.sqrt(squares)
+        self.moves[k][rows] += moved
+
+
+def _by_row(where: np.ndarray, g: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in ``where``, each once, with the sums of their ``g`` and ``times``."""
+    order = np.argsort(where, kind="stable")
+    rows = where[order]
+    at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    return rows[at], np.add.reduceat(g.take(order, 0), at, axis=0), np.add.reduceat(times[order], at)
+
+
+class Noise:
+    """Draws from the unigram distribution."""
+
+    def __init__(self, unigram: np.ndarray, rng: np.random.Generator):
+        self.rng, self.log = rng, np.log(unigram * NOISE).astype(np.float32)
+        self.bounds = np.cumsum(unigram)
+        self.bounds[-1] = 1
+
+    def draw(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of ``NOISE`` draws and how often each was drawn."""
+        times = np.bincount(np.searchsorted(self.bounds, self.rng.random(NOISE)), minlength=len(self.bounds))
+        drawn = np.flatnonzero(times)
+        return drawn.astype(np.uint16), times[drawn]
+
+
+def train(ids: np.ndarray, first: np.ndarray, unigram: np.ndarray, steps: int = STEPS, seed: int = 5) -> Weights:
+    """The weights that all tasks start from: ``steps`` steps on tokens drawn from these texts."""
     rng = np.random.default_rng(seed)
-    v = len(unigram)
-    target = rng.normal(0, 0.1, (v, DIMENSIONS)).astype(np.float32)
-    far, near = (rng.normal(0, 0.1, (v + 1, DIMENSIONS)).astype(np.float32) for _ in range(2))
-    bias = np.log(unigram).astype(np.float32)
-    sums = [np.full(x.shape, 1e-3, dtype=np.float32) for x in (target, far, near, bias)]
+    out = Weights.start(unigram, rng)
     if not len(ids):
-        return target * 0, far * 0, near * 0, bias
-    u, w = contexts(ids, first, v)
-    log_noise = np.log(unigram * NOISE).astype(np.float32)
-    draws = np.cumsum(unigram)
-    draws[-1] = 1
+        for x in out.values[:3]:
+            x *= 0
+        return out
+    ids = ids.astype(np.uint16)  # symbols are few, and 16 bits sort fast
+    u, w = contexts(ids, first, len(unigram))
+    noise = Noise(unigram, rng)
     for _ in range(steps):
         at = rng.integers(0, len(ids), BATCH)
-        y, f, n = ids[at], u[at], w[at]
-        noise = np.searchsorted(draws, rng.random(NOISE))
-        h = far[f] + near[n]
-        s = (h * target[y]).sum(axis=1) + bias[y] - log_noise[y]
-        t = h @ target[noise].T + bias[noise] - log_noise[noise]
-        gs = (1 / (1 + np.exp(np.clip(s, -30, 30)))).astype(np.float32)
-        gt = (-1 / (1 + np.exp(np.clip(-t, -30, 30)))).astype(np.float32)
-        gh = gs[:, None] * target[y] + gt @ target[noise]
-        steps_of = ((target, sums[0], np.concatenate((y, noise)), np.concatenate((gs[:, None] * h, gt.T @ h))), (far, sums[1], f, gh), (near, sums[2], n, gh), (bias, sums[3], np.concatenate((y, noise)), np.concatenate((gs, gt.sum(axis=0)))))
-        for x, past, where, g in steps_of:
-            rows, inverse = np.unique(where, return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            total = np.add.reduceat(g[order], np.searchsorted(inverse[order], np.arange(len(rows))), axis=0) / BATCH
-            past[rows] += total * total
-            x[rows] += RATE * total / np.sqrt(past[rows])
-    return target, far, near, bias
+        out.step(ids[at], u[at], w[at], noise.draw(), noise.log)
+    return out
+
+
+def follow(start: Weights, texts: Iterable[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray, seed: int) -> Weights:
+    """``start`` after one pass over every token of ``texts`` (ids, where each text begins), shuffled within an item."""
+    out = Weights([x.copy() for x in start.values], [x.copy() for x in start.squares], [np.zeros_like(x) for x in start.moves])
+    rng = np.random.default_rng(seed)
+    noise = Noise(unigram, rng)
+    left = np.zeros((3, 0), dtype=np.uint16)
+    for ids, first in texts:
+        ids = ids.astype(np.uint16)
+        left = np.concatenate((left, (ids, *contexts(ids, first, len(unigram)))), axis=1)
+        left = left[:, rng.permutation(left.shape[1])]
+        whole = left.shape[1] // BATCH * BATCH
+        for at in range(0, whole, BATCH):
+            out.step(*left[:, at : at + BATCH], noise.draw(), noise.log)
+        left = left[:, whole:]
+    if left.shape[1]:
+        out.step(*left, noise.draw(), noise.log)
+    return out
+
+
+_PART = "values array<binary>, moves array<binary>"
+
+
+def _part(values: list[np.ndarray], moves: list[np.ndarray]) -> pa.RecordBatch:
+    kind = pa.list_(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([[x.tobytes() for x in part]], kind) for part in (values, moves)], ["values", "moves"])
+
+
+def _added(parts: Iterable[tuple[list[bytes], list[bytes]]]) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+    """Sums over tasks: values (float64, each row times its moves) and moves."""
+    out = None
+    for values, moves in parts:
+        part = [np.frombuffer(x) for x in values], [np.frombuffer(x, dtype=np.int64) for x in moves]
+        out = part if out is None else tuple([a + b for a, b in zip(x, y)] for x, y in zip(out, part))
+    return out
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = _added((v, m) for b in batches for v, m in zip(b["values"].to_pylist(), b["moves"].to_pylist()))
+    if total:
+        yield _part(*total)
+
+
+def mean(start: Weights, parts: list[tuple[list[bytes], list[bytes]]]) -> list[np.ndarray]:
+    """Each row's mean over the tasks by moves; a row that none moved stays as it was."""
+    total = _added(parts)
+    if total is None:
+        return start.values
+    out = []
+    for was, value, moves in zip(start.values, *total):
+        n = moves.reshape(-1, *[1] * (was.ndim - 1))
+        out.append(np.where(n > 0, value.reshape(was.shape) / np.maximum(n, 1), was).astype(np.float32))
+    return out
 
 
 def _symbols(t: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -205,18 +316,33 @@ def fit(docs: DataFrame, totals: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
         first = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         ids = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
         weights = train(ids, first, unigram)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in weights], pa.binary()), pa.array(range(4))], ["weights", "place"])
+        yield _part(weights.values, weights.squares)
 
-    # one task reads the bounded sample and trains, with one thread, away from the driver
-    keyed = docs.filter(~F.col("held_out")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    # one task reads the bounded sample and makes the start, with one thread, away from the driver
+    training = docs.filter(~F.col("held_out"))
+    keyed = training.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     chosen = keyed.select("doc_id", "key").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(sample_docs).select("key").distinct()
     sample = keyed.join(F.broadcast(chosen), "key")  # sample_docs keys at most
-    rows = sample.select("text").repartition(1).mapInArrow(learn, "weights binary, place long").collect()
+    rows = sample.select("text").repartition(1).mapInArrow(learn, _PART).collect()
+    start = train(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), unigram)
     if rows:
-        target, far, near, bias = (np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(rows, key=lambda r: r["place"]))
-    else:  # no training document at all
-        target, far, near, bias = train(np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), unigram)
-    return Model(words, int(n), int(v), float(other), *(x.reshape(-1, DIMENSIONS) for x in (target, far, near)), bias)
+        start.values, start.squares = ([np.frombuffer(x, dtype=np.float32).reshape(y.shape) for x, y in zip(r, start.values)] for r in rows[0])
+    begun = docs.sparkSession.sparkContext.broadcast(start)
+
+    def pass_over(batches):
+        def texts():
+            for big in batches:
+                for batch in text_slices(big, "text"):
+                    t, first = tokens(batch["text"])
+                    yield _symbols(t, words), first
+
+        w = follow(begun.value, texts(), unigram, TaskContext.get().partitionId())
+        if w.moves[0].any():
+            yield _part([x.astype(np.float64) * n.reshape(-1, *[1] * (x.ndim - 1)) for x, n in zip(w.values, w.moves)], w.moves)
+
+    parts = training.select("text").mapInArrow(pass_over, _PART).repartition(MERGERS).mapInArrow(_merge, _PART).collect()
+    target, far, near, bias = mean(start, [(r["values"], r["moves"]) for r in parts])
+    return Model(words, int(n), int(v), float(other), target, far, near, bias)
 
 
 def scores(docs: DataFrame, folds: int = 10, copy: bool = True) -> DataFrame:

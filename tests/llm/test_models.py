@@ -90,6 +90,35 @@ def test_base_scores_and_counts_equal_plain_ones(spark):
     assert h.score.sum() > h.base_score.sum()
 
 
+def test_sequences_outside_the_first_sample_are_learned(spark):
+    """Texts that the starting weights don't see teach what follows what."""
+    ids = spark.range(3600).selectExpr("id AS doc_id", "xxhash64(id) AS h").orderBy("h", "doc_id").collect()
+    order = [r["doc_id"] for r in ids if zlib.crc32(str(r["doc_id"]).encode()) % 10]
+    assert len(order) > lbl.SAMPLE_DOCS + 100
+    chain = [f"z{k}" for k in range(10)]
+    rows = [(i, "plain words here") for i in order[: lbl.SAMPLE_DOCS]] + [(i, " ".join(chain * 40)) for i in order[lbl.SAMPLE_DOCS :]]
+    held = [r["doc_id"] for r in ids if zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0][:2]
+    rows += [(held[0], " ".join(chain * 3)), (held[1], " ".join(chain[::-1] * 3))]
+    r = {x["doc_id"]: x for x in lbl.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["held_out"]}
+    assert r[held[0]].base_score == pytest.approx(r[held[1]].base_score)
+    assert r[held[0]].score > r[held[1]].score + 0.2 * 31
+    assert r[held[0]].score > r[held[0]].base_score + 0.2 * 31
+
+
+def test_means_of_tasks_weigh_rows_by_moves():
+    unigram = np.full(4, 0.25)
+    start = lbl.Weights.start(unigram, np.random.default_rng(0))
+    w = [lbl.follow(start, [(np.array(ids), np.array([0, len(ids)]))], unigram, k) for k, ids in enumerate(([0, 1, 2], [0, 0], [3] * 2500))]
+    assert all(x.moves[1].sum() == n for x, n in zip(w, (3, 2, 2500)))  # each token counts once, in whole steps or not
+    parts = [lbl._part([v.astype(float) * m.reshape(-1, *[1] * (v.ndim - 1)) for v, m in zip(x.values, x.moves)], x.moves).to_pylist()[0] for x in w]
+    out = lbl.mean(start, [(p["values"], p["moves"]) for p in parts])
+    for k in range(4):
+        for row in range(len(out[k])):
+            m = [x.moves[k][row] for x in w]
+            expected = np.average([x.values[k][row] for x in w], axis=0, weights=m) if sum(m) else start.values[k][row]
+            assert out[k][row] == pytest.approx(expected, abs=1e-5)
+
+
 def test_token_probabilities_are_normalised():
     rng = np.random.default_rng(2)
     m = lbl.Model(np.arange(1, 6, dtype=np.uint64), 100, 9, 4.0, *(rng.normal(size=(k, lbl.DIMENSIONS)) for k in (6, 7, 7)), rng.normal(size=6))
