@@ -52,8 +52,15 @@ def detect(head: bytes) -> tuple[str, bool]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, raw) of every file under ``path``; only CR, LF and CR LF end a line."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_FILE_BYTES)
+    """(file, line_no, raw) of every file under ``path``; only CR, LF and CR LF end a line.
+
+    A file of more than ``MAX_FILE_BYTES`` is an error that names it, raised when the lines are read.
+    """
+    every = spark.read.format("binaryFile").load(path)
+    files = every.filter(F.col("length") <= MAX_FILE_BYTES)
+    says = F.concat(F.col("path"), F.lit(" has "), F.col("length"), F.lit(f" bytes, more than {MAX_FILE_BYTES}"))
+    # a branch of its own, so that the content of such a file is never loaded
+    refused = every.filter(F.col("length") > MAX_FILE_BYTES).filter(F.raise_error(says).cast("boolean"))
 
     @F.pandas_udf(StringType())
     def text(content: pd.Series) -> pd.Series:
@@ -67,7 +74,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         return content.map(one)
 
     lines = F.split(F.regexp_replace(text("content"), r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n")
-    return files.select(F.col("path").alias("file"), F.posexplode(lines).alias("k", "raw")).select("file", (F.col("k") + 1).cast("long").alias("line_no"), "raw")
+    out = files.select(F.col("path").alias("file"), F.posexplode(lines).alias("k", "raw")).select("file", (F.col("k") + 1).cast("long").alias("line_no"), "raw")
+    return out.union(refused.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("line_no"), F.lit("").alias("raw")))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -78,3 +78,13 @@ def test_encodings(tmp_path, spark):
     rows = gedcom.records(gedcom.parse_lines(gedcom.read_lines(spark, f"file://{tmp_path}"))).orderBy("line_no").collect()
     assert [r["tag"] for r in rows] == ["HEAD", "CHAR", "INDI", "NAME", "", "TRLR"]
     assert rows[3]["value"] == "A /B\u0085C/" and rows[3]["record_xref"] == "@I1@" and rows[4]["raw"] == "junk"
+
+
+def test_files_over_the_limit_are_named(tmp_path, spark, monkeypatch):
+    (tmp_path / "small.ged").write_text("0 HEAD\n0 TRLR\n")
+    assert gedcom.read_lines(spark, f"file://{tmp_path}").count() == 2
+    (tmp_path / "large.ged").write_text("0 HEAD\n1 NOTE long\n0 TRLR\n")
+    monkeypatch.setattr(gedcom, "MAX_FILE_BYTES", 16)
+    for run in (lambda f: f.collect(), lambda f: f.count()):
+        with pytest.raises(Exception, match="large.ged has 26 bytes, more than 16"):
+            run(gedcom.read_lines(spark, f"file://{tmp_path}"))
