@@ -2,10 +2,12 @@
 
 Documents become ids (a word-level vocabulary, one end id behind each); only longer ones are cut into
 pieces of ``capacity``. What decides a packing is how many pieces there are of each length, and that
-table has ``capacity`` rows at most whatever the corpus holds, so the driver solves the packing exactly
-on it: bins are completed around the largest length, fillings that another one dominates are left out,
-branches are pruned by the waste they may still have, and best-fit solutions are the first incumbent.
-Each filling is used for as many bins as the counts allow. Pieces then find their place by their rank
+table has ``capacity`` rows at most whatever the corpus holds, so the driver searches for a packing on
+it: bins are completed around the largest length, branches are pruned by the waste they may still have,
+and the best-fit solution is the first incumbent, kept at once where it meets the lower bound. The search
+is not exhaustive, even where it ends by itself: a branch tries ``WIDTH`` fillings at most, found in
+``STEPS`` steps, and each filling is used for as many bins as counts and waste allow, never for fewer.
+Where the bound is not met, fewer bins may thus be possible. Pieces then find their place by their rank
 among those of equal length, which is counted in salted groups.
 
 Defined results: a null text counts as empty (its only id is the end id); repeated rows and null ids are
