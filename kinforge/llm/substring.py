@@ -1,13 +1,12 @@
-"""Repeated passages by relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Repeated passages by winnowing anchors, in place of a greedy relative Lempel-Ziv parse.
 
-The reference is the corpus itself. Reading every reference block for every document would grow with
-the square of the corpus, so an index of anchors leads to the blocks that matter: of the word k-grams in
+The corpus is compared with itself. A parse that reads every reference block for every document would
+grow with the square of the corpus, so anchors bring together what may be equal: of the word k-grams in
 each window of ``WINDOW`` words the one with the least hash is its anchor, and equal windows have equal
-anchors. Consecutive windows with one anchor are a phrase. A document is parsed greedily into factors:
-phrases whose whole span stands elsewhere as well, taken together as far as they follow each other.
-Where a factor ends - a phrase whose anchor stands elsewhere, but with other words around it - the
-boundary is checked window by window, so that a factor reaches as far as any source does and no window
-across a boundary is missed. Every word under a repeated window goes.
+anchors. Consecutive windows with one anchor are a phrase. No longest match is sought and no factors are
+formed: phrases whose whole span stands elsewhere as well are repeated in all their windows, and those
+whose anchor stands elsewhere, but with other words around it, are compared window by window. So no
+repeated window is missed. Every word under a repeated window goes.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null texts have none; documents of fewer
 words than a window keep all; rows that repeat a doc_id and a text count as occurrences of their own and
