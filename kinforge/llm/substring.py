@@ -1,11 +1,15 @@
-"""Repeated passages by winnowing anchors, in place of a greedy relative Lempel-Ziv parse.
-
-The corpus is compared with itself. A parse that reads every reference block for every document would
-grow with the square of the corpus, so anchors bring together what may be equal: of the word k-grams in
-each window of ``WINDOW`` words the one with the least hash is its anchor, and equal windows have equal
-anchors. Consecutive windows with one anchor are a phrase. No longest match is sought and no factors are
-formed: phrases whose whole span stands elsewhere as well are repeated in all their windows, and those
-whose anchor stands elsewhere, but with other words around it, are compared window by window. So no
+"""Repeated passages by relative Lempel-Ziv parsing over a reference that is kept in indexed blocks.
+
+The corpus is parsed relative to a reference made of it. Texts are cut into phrases by their content: of
+the word k-grams in each window of ``WINDOW`` words the one with the least hash is its anchor, and
+consecutive windows with one anchor are a phrase, so equal windows lie in phrases of equal anchors. The
+reference has each different phrase once, where it stands first; it is indexed by anchor and span and
+dealt over as many blocks as there are partitions. Each document's phrases look up their blocks together,
+and are then parsed greedily from the left: as every phrase stands in the reference only once, the
+longest factor is found by going on for as long as the next phrase follows in the reference as well.
+Factors have a window's length or more by construction; they become duplicate spans as a whole if their
+phrases stand elsewhere. At factor boundaries, where a phrase's anchor stands elsewhere with other words
+around it, the factor may reach on by part of a phrase: these windows are checked one by one. So no
 repeated window is missed. Every word under a repeated window goes.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null texts have none; documents of fewer
@@ -20,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, Words, mix, prefix, segment_hash, text_slices
@@ -77,6 +81,30 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["_doc"]) & (a["_key"] == b["_k"])
 
 
+def reference(phrases: DataFrame) -> DataFrame:
+    """Each different phrase (h, span) of ``phrases``: how often it stands, and where first (_doc, _k, s, n)."""
+    first = F.min(F.struct("_doc", "_k", "s", "n")).alias("r")
+    return phrases.groupBy("h", "span").agg(F.count("*").alias("times"), first).select("h", "span", "times", "r.*")
+
+
+def factors(phrases: DataFrame, ref: DataFrame) -> DataFrame:
+    """The greedy parse of the phrases that stand elsewhere too: _doc, _k, s (first window), n (windows) and the
+    reference's place ref_doc, ref_k, ref_s.
+
+    A factor ends where the next phrase stands elsewhere in the reference than behind the last one. Phrases
+    of rows that repeat a document and its text are parsed once.
+    """
+    place = ref.filter("times > 1").select("h", "span", F.col("_doc").alias("ref_doc"), F.col("_k").alias("ref_k"), F.col("s").alias("ref_s"))
+    found = phrases.join(place, ["h", "span"]).select("_doc", "_k", "s", "n", "ref_doc", "ref_k", "ref_s")
+    found = found.repartition("_doc", "_k").dropDuplicates(["_doc", "_k", "s"])
+    w = Window.partitionBy("_doc", "_k").orderBy("s")
+    before = lambda c: F.lag(c).over(w)
+    follows = (before("s") + before("n") == F.col("s")) & before("ref_doc").eqNullSafe(F.col("ref_doc")) & (before("ref_k") == F.col("ref_k")) & (F.col("ref_s") - before("ref_s") == F.col("s") - before("s"))
+    found = found.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("factor", F.sum("new").over(w))
+    parts = found.groupBy("_doc", "_k", "factor").agg(F.min("s").alias("s"), F.sum("n").cast("int").alias("n"), F.min(F.struct("s", "ref_doc", "ref_k", "ref_s")).alias("at"))
+    return parts.select("_doc", "_k", "s", "n", "at.ref_doc", "at.ref_k", "at.ref_s")
+
+
 def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(_doc, _k, runs): for rows of ``docs`` with repeated windows, arrays of (first window, windows)."""
 
@@ -97,9 +125,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     drop(all_)
     free_shuffles(docs.sparkSession)
 
-    spans = written(some.groupBy("h", "span").agg(F.count("*").alias("times"), F.min(F.struct("_doc", "_k", "s", "n")).alias("r")).select("h", "span", "times", "r.*"), "spans")
+    spans = written(reference(some), "spans")
     several = written(spans.groupBy("h").agg(F.count("*").alias("spans")).filter("spans > 1").select("h"), "anchors-several")
-    whole = some.join(spans.filter("times > 1").select("h", "span"), ["h", "span"]).select("_doc", "_k", "s", "n")
+    whole = factors(some, spans).select("_doc", "_k", "s", "n")
 
     asked = spans.join(several, "h").groupBy("_doc", "_k").agg(F.collect_list(F.struct("s", "n", "times")).alias("asked"))
 

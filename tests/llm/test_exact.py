@@ -103,6 +103,42 @@ def test_substring_removal_equals_brute_force(spark):
         assert (got[k]["n_words"], got[k]["n_removed"], got[k]["kept_sha256"]) == (len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest()), k
 
 
+def test_factors_are_the_longest_in_the_reference(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    shared = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(4)]
+    docs = [" ".join(rng.choice([rng.choice(shared), " ".join(rng.choice(words) for _ in range(20))]) for _ in range(rng.randint(1, 5))) for _ in range(30)]
+    p = substring.Phrases(bpe_words := substring.Words(pa.array(docs), lower=False), 35, 10)
+    rows = [(int(h), int(x), int(d), 0, int(s), int(n)) for h, x, d, s, n in zip(p.anchor.view(np.int64), p.span.view(np.int64), p.doc, p.at, p.windows)]
+    phrases = spark.createDataFrame(rows, "h long, span long, _doc long, _k long, s int, n int")
+    got = sorted(tuple(r) for r in substring.factors(phrases, substring.reference(phrases)).collect())
+    text = [bpe_words.hash[a:b].tolist() for a, b in zip(bpe_words.first[:-1], bpe_words.first[1:])]
+    # plain greedy parse: the reference has each different phrase where it stands first
+    key = lambda r: (r[0], r[1])
+    ref, times, by_doc = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r[2], r[4])):
+        ref.setdefault(key(r), (r[2], r[4]))
+        times[key(r)] = times.get(key(r), 0) + 1
+        by_doc.setdefault(r[2], []).append(r)
+    in_ref = {v: k for k, v in ref.items()}
+    expected = []
+    for d, ps in by_doc.items():
+        k = 0
+        while k < len(ps):
+            if times[key(ps[k])] < 2:
+                k += 1
+                continue
+            doc, at = ref[key(ps[k])]
+            to, n = k + 1, ps[k][5]
+            while to < len(ps) and in_ref.get((doc, at + n)) == key(ps[to]) and times[key(ps[to])] > 1:
+                n += ps[to][5]
+                to += 1
+            expected.append((d, 0, ps[k][4], n, doc, 0, at))
+            assert text[d][ps[k][4] : ps[k][4] + n + 34] == text[doc][at : at + n + 34]
+            k = to
+    assert got == sorted(expected) and len(got) > 20 and any(x[3] > 40 for x in got)
+
+
 def near_docs():
     rng = random.Random(3)
     words = [f"w{k}" for k in range(3000)]
@@ -150,7 +186,9 @@ def test_bayesian_bounds_keep_pairs_of_the_threshold():
     assert least[-1] > 128 * 0.5
 
 
-def test_vectors_link_as_in_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 8])
+def test_vectors_link_as_in_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embed, "BLOCK", block)
     rng = np.random.default_rng(7)
     base = rng.normal(size=(40, 64))
     v = np.concatenate([base[rng.integers(0, 40, 400)] + rng.normal(size=(400, 64)) * rng.choice([0.02, 0.15, 0.3], (400, 1)), base[:5], base[:5]])
