@@ -75,6 +75,12 @@ def test_repeated_vectors_are_links_of_their_own(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
+def test_different_vectors_of_one_id_are_told_apart(spark):
+    rows = [(1, [1.0, 0.0], 0, 9), (1, [1.0, 0.1], 0, 9), (2, [1.0, 0.2], 0, 9), (3, [0.9, 0.1], 0, 9), (2, [0.0, 1.0], 0, 9)]
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 3, 1), (1, 3, 1), (2, 0, 2), (2, 3, 1), (3, 3, 1)]
+
+
 @pytest.mark.parametrize("rows", [ROWS, []])
 def test_stages_take_odd_rows_and_keep_the_columns(spark, rows):
     docs = docs_of(spark, rows)
