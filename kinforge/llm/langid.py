@@ -218,10 +218,11 @@ def label(m: Model, f: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return path, lang, score
 
 
-def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, spans (first word, words, language) of every row of ``docs`` (doc_id, text, lang)."""
+def languages(docs: DataFrame, model: Model | None = None, with_spans: bool = True) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and, if wanted, spans (first word, words, language) of every row of ``docs`` (doc_id, text, lang)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model or learn(docs))
+    names = ["doc_id", "held_out", "lang_pred", "score", "spans"]
 
     def run(batches):
         m = shared.value
@@ -229,23 +230,25 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
             for batch in text_slices(big, "text", 1 << 19):
                 f = Letters(texts_of(batch["text"]))
                 path, lang, score = label(m, f)
+                columns = [
+                    batch["doc_id"].cast(pa.int64()),
+                    batch["held_out"],
+                    pa.array([m.languages[k] if k >= 0 else UNDEFINED for k in lang.tolist()], pa.string()),
+                    pa.array(score),
+                ]
+                if not with_spans:
+                    yield pa.RecordBatch.from_arrays(columns, names[:4])
+                    continue
                 spans = []
                 for d, (a, b) in enumerate(zip(f.first[:-1].tolist(), f.first[1:].tolist())):
                     part = path[a:b]
                     cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1)) if b > a else []
                     spans.append([{"first": int(x), "words": int(y - x), "lang": m.languages[part[x]]} for x, y in zip(cut, [*cut[1:], b - a])] if lang[d] >= 0 else [])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc_id"].cast(pa.int64()),
-                        batch["held_out"],
-                        pa.array([m.languages[k] if k >= 0 else UNDEFINED for k in lang.tolist()], pa.string()),
-                        pa.array(score),
-                        pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))),
-                    ],
-                    ["doc_id", "held_out", "lang_pred", "score", "spans"],
-                )
-
-    schema = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<first: int, words: int, lang: string>>"
+                columns.append(pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, held_out boolean, lang_pred string, score double"
+    schema += ", spans array<struct<first: int, words: int, lang: string>>" if with_spans else ""
     return docs.select("doc_id", "text").withColumn("held_out", held_out()).mapInArrow(run, schema)
 
 
