@@ -3,10 +3,11 @@
 Texts with the same word sequence form one class, and only its smallest doc_id goes on. Band buckets
 give candidates; one byte of each signature value is compared batch by batch, and a pair is dropped as
 soon as the posterior chance that its similarity reaches the threshold is under ``MISS`` (uniform
-prior). What survives connects candidates; each such set of documents is then put in blocks together
-with their texts, where the surviving pairs that are not connected yet are confirmed on full shingle
-sets. Sets of more than ``BLOCK`` documents are dealt over blocks that share some pivots; only if that
-leaves parts unconnected are those parts compared with the whole set, block by block.
+prior). What survives connects candidates; inside each connected group, surviving pairs that are not
+connected yet are confirmed on full shingle sets. Buckets and groups alike are dealt over blocks of
+about ``BLOCK`` rows and ``LOAD`` shingles that share some pivots; only what is then not connected with
+the largest part of its group meets the whole group, block by block. So a group of copies costs rows in
+proportion to its size, and no pair that could connect two parts is left out.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a text with fewer words than a
 shingle is one shingle; null and wordless texts have none and link with nothing; rows that share a
@@ -19,12 +20,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.llm._arrays import U, Words, mix, text_slices
@@ -34,7 +35,8 @@ from kinforge.llm.components import Forest, components, whole_groups
 HASHES, BANDS, BATCH = 128, 32, 32
 #: Chance, for a pair of the threshold's similarity, to be dropped at one comparison.
 MISS = 1e-6
-BLOCK, PIVOTS = 1024, 16
+#: Rows and shingles of a block, and rows that all blocks of a group share.
+BLOCK, LOAD, PIVOTS = 256, 1 << 19, 16
 _ROWS = HASHES // BANDS
 _SKETCH = "doc_id long, n_shingles long, digest binary, bands binary, sig binary"
 
@@ -93,6 +95,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(words: Words, d: int) -> bytes:
+    return hashlib.blake2b(words.hash[words.first[d] : words.first[d + 1]].astype("<u8").tobytes(), digest_size=16).digest()
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the word sequence, band keys and signature bytes of each row."""
 
@@ -105,10 +111,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 keys = band_keys(sig)
                 low = (sig & 0xFF).astype(np.uint8)
                 counts, digests = [], []
-                h = words.hash.astype("<u8")
                 for d in range(batch.num_rows):
                     counts.append(len(np.unique(x[first[d] : first[d + 1]])))
-                    digests.append(hashlib.blake2b(h[words.first[d] : words.first[d + 1]].tobytes(), digest_size=16).digest())
+                    digests.append(_digest(words, d))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array([r.tobytes() for r in low], pa.binary())],
                     ["doc_id", "n_shingles", "digest", "bands", "sig"],
@@ -170,117 +175,214 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
 
 
-def _ids(n: str, key: str = "id") -> tuple:
-    """Blocks of a group of ``n`` rows, and the block of a row."""
-    g = F.ceil(F.col(n) / BLOCK).cast("int")
-    return g, F.pmod(F.xxhash64(key, F.lit(7)), g).cast("int")
+def _blocks(n: str, load: str) -> Column:
+    """Blocks of a group of ``n`` rows with ``load`` shingles in all."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK), F.ceil(F.col(load) / LOAD)).cast("int")
+
+
+def _block(g: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(7)), g).cast("int")
+
+
+class Linker:
+    """Joins rows of a block that ``test`` links, without comparing those that are joined already."""
+
+    def __init__(self, ids: np.ndarray, test: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]):
+        self.ids, self.test, self.forest = ids, test, Forest()
+
+    def _join(self, label: np.ndarray, a: np.ndarray, b: np.ndarray, s: int) -> None:
+        for p, q in zip(a.tolist(), b.tolist()):
+            self.forest.join(int(self.ids[p]), int(self.ids[q]))
+            x, y = label[p - s], label[q - s]
+            if x != y:
+                label[label == y] = x
+
+    def within(self, s: int, e: int) -> None:
+        """Rows s to e: some pivots meet all rows first, then rows that are still apart meet each other."""
+        label = np.arange(e - s)
+        tried: set[int] = set()
+        for p in range(e - s):
+            if label[p] in tried:
+                continue
+            if len(tried) == PIVOTS:
+                break
+            tried.add(int(label[p]))
+            far = np.flatnonzero(label != label[p])
+            if not len(far):
+                return
+            for a, b in self.test(np.full(len(far), s + p), s + far):
+                self._join(label, a, b, s)
+        for k in range(0, e - s - 1):
+            far = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
+            if len(far):
+                for a, b in self.test(np.full(len(far), s + k), s + far):
+                    self._join(label, a, b, s)
+
+    def across(self, s: int, e: int, side: np.ndarray, part: np.ndarray) -> None:
+        """Rows of the two sides that belong to different parts."""
+        one, two = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+        label = np.unique(part[s:e], return_inverse=True)[1]
+        for q in two.tolist():
+            far = one[label[one - s] != label[q - s]]
+            if len(far):
+                for a, b in self.test(np.full(len(far), q), far):
+                    self._join(label, a, b, s)
+
+
+def _signature_test(sig: np.ndarray, threshold: float):
+    def test(a: np.ndarray, b: np.ndarray):
+        a, b, _ = surviving(sig, a, b, threshold)
+        yield a, b
+
+    return test
+
+
+def _exact_test(sig: np.ndarray, sets: list[np.ndarray], threshold: float, root: Callable[[int], int]):
+    """Pairs whose signatures survive, confirmed on full sets; of rows that a pair before has joined only one is read."""
+    percent, size = round(threshold * 100), np.array([len(x) for x in sets])
+
+    def test(a: np.ndarray, b: np.ndarray):
+        keep = percent * np.maximum(size[a], size[b]) <= 100 * np.minimum(size[a], size[b])
+        a, b, matches = surviving(sig, a[keep], b[keep], threshold)
+        for k in np.argsort(-matches, kind="stable").tolist():
+            p, q = int(a[k]), int(b[k])
+            if root(p) == root(q):
+                continue
+            at = np.searchsorted(sets[p], sets[q])
+            at[at == len(sets[p])] = 0
+            both = int((sets[p][at] == sets[q]).sum())
+            if 100 * both >= percent * (size[p] + size[q] - both):
+                yield a[k : k + 1], b[k : k + 1]
+
+    return test
+
+
+def _linker(t: pa.Table, threshold: float) -> Linker:
+    ids, sig = t["id"].to_numpy(), _sigs(t["sig"])
+    out = Linker(ids, _signature_test(sig, threshold))
+    if "set" in t.column_names:
+        out.test = _exact_test(sig, [np.frombuffer(x, dtype="<u8") for x in t["set"].to_pylist()], threshold, lambda p: out.forest.root(int(ids[p])))
+    return out
 
 
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that connect all documents whose signatures survive in some bucket."""
-
-    def explode(batches):
-        for b in batches:
-            keys = np.frombuffer(b"".join(b["bands"].to_pylist()), dtype="<u8")
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(b["id"].to_numpy(), BANDS))], ["bucket", "id"])
-
-    rows = reps.select("id", "bands").mapInArrow(explode, "bucket long, id long")
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = rows.join(counts, "bucket")
-    g, blk = _ids("n")
-    members = members.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
-    members = members.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id")
-    members = written(members, "members")
-    full = members.join(reps.select("id", "sig"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+def _inside(threshold: float):
+    """Links inside blocks (grp, i, id, sig and perhaps set): small blocks of one size together, larger ones by pivots."""
 
     def run(batches):
         forest = Forest()
-        for t, starts in whole_groups(batches, ["bucket", "i", "j"]):
-            sig, ids, blk, cross = _sigs(t["sig"]), t["id"].to_numpy(), t["blk"].to_numpy(), (t["i"].to_numpy() != t["j"].to_numpy())
-            for a, b in pairs_of(np.diff(starts), starts[:-1]):
-                if cross.any():
-                    keep = ~cross[a] | (blk[a] != blk[b])
-                    a, b = a[keep], b[keep]
-                a, b, _ = surviving(sig, a, b, threshold)
-                for x, y in zip(ids[a].tolist(), ids[b].tolist()):
-                    forest.join(x, y)
+        for t, starts in whole_groups(batches, ["grp", "i"], rows=512):
+            linker = _linker(t, threshold)
+            linker.forest = forest
+            sizes = np.diff(starts)
+            small = sizes <= 16
+            for a, b in pairs_of(sizes[small], starts[:-1][small]):
+                for x, y in linker.test(a, b):
+                    for p, q in zip(linker.ids[x].tolist(), linker.ids[y].tolist()):
+                        forest.join(p, q)
+            for k in np.flatnonzero(~small).tolist():
+                linker.within(int(starts[k]), int(starts[k + 1]))
         yield forest.edges()
 
-    return full.select("bucket", "i", "j", "blk", "id", "sig").mapInArrow(run, "a long, b long"), members
+    return run
 
 
-def _confirm(k: int, threshold: float, sides: bool):
-    """Links inside blocks (comp, i, j, id, sig, text, and part and side where parts are compared)."""
-    percent = round(threshold * 100)
+def _between(threshold: float):
+    """Links between the parts of large groups (grp, i, j, id, side, part, sig and perhaps set)."""
 
     def run(batches):
         forest = Forest()
-        for t, starts in whole_groups(batches, ["comp", "i", "j"], rows=256):
-            ids, sig = t["id"].to_numpy(), _sigs(t["sig"])
-            x, first = shingles(Words(t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"], lower=True), k)
-            sets = [np.unique(x[first[d] : first[d + 1]]) for d in range(t.num_rows)]
-            size = np.array([len(s) for s in sets])
-            part, side = (t["part"].to_numpy(), t["side"].to_numpy()) if sides else (None, None)
+        for t, starts in whole_groups(batches, ["grp", "i", "j"], rows=512):
+            linker = _linker(t, threshold)
+            linker.forest = forest
+            side, part = t["side"].to_numpy(), t["part"].to_numpy()
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                found = [[], [], []]
-                for a, b in pairs_of(np.array([e - s]), np.array([s])):
-                    keep = percent * np.maximum(size[a], size[b]) <= 100 * np.minimum(size[a], size[b])
-                    if sides:
-                        keep &= (side[a] != side[b]) & (part[a] != part[b])
-                    for f, v in zip(found, surviving(sig, a[keep], b[keep], threshold)):
-                        f.append(v)
-                if not found[0]:
-                    continue
-                a, b, matches = map(np.concatenate, found)
-                order = np.argsort(-matches, kind="stable")
-                for p, q in zip(a[order].tolist(), b[order].tolist()):
-                    u, v = int(ids[p]), int(ids[q])
-                    if forest.root(u) != forest.root(v):
-                        at = np.searchsorted(sets[p], sets[q])
-                        at[at == len(sets[p])] = 0
-                        both = int((sets[p][at] == sets[q]).sum())
-                        if 100 * both >= percent * (size[p] + size[q] - both):
-                            forest.join(u, v)
+                linker.across(s, e, side, part)
         yield forest.edges()
 
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, component) of the class representatives that are linked with others."""
-    found, members = candidates(reps, threshold)
-    labels = components(found)
-    drop(members)
-    free_shuffles(docs.sparkSession)
-    sizes = labels.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("n"))
-    sized = labels.withColumnRenamed("component", "comp").join(written(sizes, "sizes"), "comp")
-    full = reps.select("id", "sig", "digest").join(sized, "id")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(full, "id")
-    g, blk = _ids("n")
-    pivot = (F.col("n") > BLOCK) & (F.pmod(F.xxhash64("id", F.lit(11)), F.col("n")) < PIVOTS)
-    blocks = texts.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), g - 1)).otherwise(F.array(blk)))).withColumn("j", F.col("i"))
-    blocks = blocks.select("comp", "i", "j", "id", "sig", "text").repartition("comp", "i").sortWithinPartitions("comp", "i", "j")
-    sure = written(blocks.mapInArrow(_confirm(k, threshold, False), "a long, b long"), "sure")
+def connected(groups: DataFrame, load: DataFrame, columns: list[str], threshold: float) -> DataFrame:
+    """(id, component) of the rows of ``groups`` (grp, id, n, load) that links inside groups reach.
+
+    ``load`` has ``columns`` of each id. A group of more than one block shares some pivots among all its
+    blocks. What is not connected with the largest part of its group after that, meets the whole group.
+    """
+    g = _blocks("n", "load")
+    pivot = (g > 1) & (F.pmod(F.xxhash64("id", F.lit(11)), F.col("n")) < PIVOTS)
+    first = groups.select("grp", "id", F.explode(F.when(pivot, F.sequence(F.lit(0), g - 1)).otherwise(F.array(_block(g)))).alias("i"))
+    first = first.join(load, "id").select("grp", "i", *columns).repartition("grp", "i").sortWithinPartitions("grp", "i")
+    sure = written(first.mapInArrow(_inside(threshold), "a long, b long"), "sure")
     result = components(sure)
-    large = sized.filter(F.col("n") > BLOCK)
+    large = groups.filter(g > 1)
     if not large.limit(1).count():
+        drop(sure)
         return result
-    # parts of sets that were dealt over blocks: all but the largest part meet the whole set
-    parts = written(large.join(result, "id", "left").select("comp", "id", F.coalesce("component", "id").alias("part")), "parts")
-    per = parts.groupBy("comp", "part").agg(F.count("*").alias("m"))
-    main = per.groupBy("comp").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    main = written(main.select("comp", "n", F.col("top.part").alias("top"), (F.col("n") - F.col("top.m")).alias("rest")), "main")
+    parts = written(large.join(result, "id", "left").select("grp", "id", "load", F.coalesce("component", "id").alias("part")), "parts")
+    per = parts.groupBy("grp", "part").agg(F.count("*").alias("m"), F.max("load").alias("load"))
+    main = per.groupBy("grp").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("n"), F.max("load").alias("load"), F.count("*").alias("parts")).filter("parts > 1")
+    main = written(main.select("grp", "n", "load", F.col("top.part").alias("top"), (F.col("n") - F.col("top.m")).alias("rest")), "main")
     if not main.limit(1).count():
+        drop(sure, parts, main)
         return result
-    both = parts.join(main, "comp")
-    gn, gr = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int")
-    mine = lambda g: F.pmod(F.xxhash64("id", F.lit(7)), g).cast("int")
-    whole = both.select("comp", "id", "part", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), gr - 1)).alias("i"), mine(gn).alias("j"))
-    rest = both.filter("part <> top").select("comp", "id", "part", F.lit(1).alias("side"), mine(gr).alias("i"), F.explode(F.sequence(F.lit(0), gn - 1)).alias("j"))
-    placed = whole.union(rest).join(texts.select("id", "sig", "text"), "id")
-    placed = placed.select("comp", "i", "j", "id", "sig", "text", "part", "side").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    more = placed.mapInArrow(_confirm(k, threshold, True), "a long, b long")
-    return components(sure.union(more))
+    both = parts.drop("load").join(main, "grp")
+    gn, gr = _blocks("n", "load"), F.greatest(F.lit(1), F.least(_blocks("n", "load"), F.ceil(F.col("rest") / BLOCK).cast("int")))
+    whole = both.select("grp", "id", "part", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), gr - 1)).alias("i"), _block(gn).alias("j"))
+    rest = both.filter("part <> top").select("grp", "id", "part", F.lit(1).alias("side"), _block(gr).alias("i"), F.explode(F.sequence(F.lit(0), gn - 1)).alias("j"))
+    placed = whole.union(rest).join(load, "id").select("grp", "i", "j", "side", "part", *columns).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    more = written(placed.mapInArrow(_between(threshold), "a long, b long"), "more")
+    again = components(sure.union(more))
+    drop(sure, more, parts, main, result)
+    return again
+
+
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(id, component): what is connected by signatures that survive in some bucket."""
+
+    def explode(batches):
+        for b in batches:
+            keys = np.frombuffer(b"".join(b["bands"].to_pylist()), dtype="<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(b["id"].to_numpy(), BANDS))], ["grp", "id"])
+
+    rows = reps.select("id", "bands").mapInArrow(explode, "grp long, id long")
+    counts = rows.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
+    groups = written(rows.join(counts, "grp").select("grp", "id", "n", F.lit(0).cast("long").alias("load")), "members")
+    out = connected(groups, reps.select("id", "sig"), ["id", "sig"], threshold)
+    drop(groups)
+    return out
+
+
+def _sets(k: int):
+    """The sorted shingle sets of texts that have the wanted digest."""
+
+    def run(batches):
+        for big in batches:
+            for batch in text_slices(big, "text"):
+                words = Words(batch["text"], lower=True)
+                x, first = shingles(words, k)
+                want = batch["digest"].to_pylist()
+                mine = [d for d in range(batch.num_rows) if _digest(words, d) == want[d]]
+                sets = [np.unique(x[first[d] : first[d + 1]]).astype("<u8").tobytes() for d in mine]
+                at = pa.array(mine, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in ("grp", "id", "n", "load", "sig")), pa.array(sets, pa.binary())], ["grp", "id", "n", "load", "sig", "set"])
+
+    return run
+
+
+def links(docs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(id, component) of the class representatives that are linked with others."""
+    labels = candidates(reps, threshold)
+    free_shuffles(docs.sparkSession)
+    known = reps.select("id", "sig", "digest", "n_shingles").join(labels.withColumnRenamed("component", "grp"), "id")
+    sizes = written(known.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load")), "sizes")
+    wanted = known.select("id", "sig", "digest", "grp").join(sizes, "grp")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("text", "grp", "id", "n", "load", "digest", "sig")
+    sets = written(texts.mapInArrow(_sets(k), "grp long, id long, n long, load long, sig binary, set binary"), "sets")
+    free_shuffles(docs.sparkSession)
+    # one text of each class is enough; a doc_id with several texts stands for several classes
+    out = connected(sets.select("grp", "id", "n", "load").distinct(), sets.select("id", "sig", "set").dropDuplicates(["id", "sig"]), ["id", "sig", "set"], threshold)
+    drop(sets, sizes, labels)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -291,7 +393,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
     # one row per class: of rows that repeat a doc_id and a text, any
-    reps = written(some.select(F.col("doc_id").alias("id"), "digest", "bands", "sig").join(classes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "reps")
+    reps = written(some.select(F.col("doc_id").alias("id"), "digest", "bands", "sig", "n_shingles").join(classes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "reps")
     linked = links(docs, reps, k, threshold)
     labelled = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     ids = some.select("doc_id", "digest").join(written(labelled, "class-labels"), "digest").select("doc_id", "component")
