@@ -24,17 +24,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _powers: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+#: Powers that a worker keeps; longer runs of them last as long as their text is read.
+_KEPT_POWERS = 1 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n + 1, 1 << 16), base, dtype=U)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps, out=steps))
+    if n < _KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
@@ -175,7 +180,7 @@ def free_memory() -> None:
     _trim()(0)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19):
     """Slices of a batch with about ``limit`` bytes of text each; one row at least."""
     sizes = batch[column].cast(pa.large_string())
     offsets = np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]

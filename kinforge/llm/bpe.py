@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from kinforge.llm._arrays import HashTable, mix, prefix, segment_hash
+from kinforge.llm._arrays import HashTable, mix, prefix, segment_hash, text_slices
 from kinforge.llm._store import bounded_batches
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,7 +33,7 @@ VOCABULARY = "word_bpe_49k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TOKEN_LIMIT = 2048
 #: Words that a worker's cache holds at most before it starts anew (memory only; results don't depend on it).
-CACHE_WORDS = 900_000
+CACHE_WORDS = 400_000
 _NONE = np.int64(1 << 40)
 
 
@@ -320,11 +320,6 @@ def texts_of(column: pa.Array) -> list[str]:
     return pc.fill_null(column.cast(pa.large_string()), "").to_pylist()
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text)."""
     bounded_batches(docs.sparkSession)
@@ -332,7 +327,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = TOK
     def run(batches):
         enc = encoder(vocabulary_path(vocabulary))
         for big in batches:
-            for batch in slices(big):
+            for batch in text_slices(big, "text"):
                 counts = enc.count(texts_of(batch["text"]))
                 n_bytes = pc.fill_null(pc.binary_length(batch["text"]), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(

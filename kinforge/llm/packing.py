@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinforge.llm._arrays import text_slices
 from kinforge.llm._store import bounded_batches, written
-from kinforge.llm.bpe import VOCABULARY, crc, encoder, slices, texts_of, vocabulary_path
+from kinforge.llm.bpe import VOCABULARY, crc, encoder, texts_of, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
@@ -221,7 +222,7 @@ def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAP
     def run(batches):
         enc = encoder(vocabulary_path(vocabulary))
         for big in batches:
-            for batch in slices(big):
+            for batch in text_slices(big, "text"):
                 cols: list[list[int]] = [[], [], [], [], []]
                 row = []
                 for n, ids in enumerate(enc.encode(texts_of(batch["text"]))):
