@@ -4,7 +4,9 @@ Texts are compared as lower-case letters and digits with one space between words
 characters leaks into a document if some region of it aligns with the whole item in at most
 ``floor(m * RATE)`` edits. Such a region shares at least m + 1 - q (e + 1) q-grams with the item, all on
 diagonals at most e apart; shared q-grams are counted in diagonal bands of width 2 (e + 1) that overlap
-by half, and bands that reach the bound are aligned. q is the largest of ``GRAMS`` for which the bound
+by half, and bands that reach the bound are aligned, with no cell looked at beyond the band and e
+diagonals on either side. An item counts as a whole only: a document that holds less of it than the edit
+budget allows is no leak of it. q is the largest of ``GRAMS`` for which the bound
 asks for ``MIN_SHARED`` q-grams. Items are read in blocks of at most ``BLOCK_CHARS`` characters, and each
 block is sent to all tasks (its size is checked): documents are read once for each block.
 
@@ -124,32 +126,41 @@ def whole(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int] | None:
     return None
 
 
-def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """Fewest edits that turn ``item`` into a part of ``text``, if at most ``most``; that part's start and end."""
-    n = len(text)
-    cols = np.arange(n + 1)
-    cost = np.zeros(n + 1, dtype=np.int64)
-    origin = cols.copy()
+def align(item: np.ndarray, text: np.ndarray, most: int, low: int = 0, wide: int | None = None) -> tuple[int, int, int] | None:
+    """Fewest edits that turn ``item`` into a part of ``text``, if at most ``most``; that part's start and end.
+
+    Only alignments on the ``wide`` diagonals (place in the text less place in the item) from ``low`` on are
+    looked at; without ``wide``, on all. Row by row, cell k holds diagonal low + k.
+    """
+    n, m = len(text), len(item)
+    if wide is None:
+        low, wide = -m, n + m + 1
+    pad = np.full(wide + m, 0xFFFFFFFF, dtype=np.uint32)
+    far = 1 << 30
+    row = np.concatenate((pad[: max(0, -low)], text, pad))[max(0, low) :]  # row[k + i]: the character at diagonal low + k of row i
+    k = np.arange(wide)
+    at = low + k
+    cost = np.where((at >= 0) & (at <= n), 0, far)
+    origin = at.copy()
     for i, c in enumerate(item.tolist()):
-        swap = cost[:-1] + (text != c)
-        drop = cost + 1
-        best = drop.copy()
-        from_ = origin.copy()
-        better = swap < best[1:]
-        best[1:][better] = swap[better]
-        from_[1:][better] = origin[:-1][better]
-        run = np.minimum.accumulate(best - cols)
-        insert = run + cols
-        less = insert < best
+        at = low + i + 1 + k  # columns of the new row
+        best = cost + (row[i : i + wide] != c)
+        best[(at < 1) | (at > n)] = far
+        from_ = origin
+        drop = np.append(cost[1:] + 1, far)
+        less = drop < best
+        best, from_ = np.where(less, drop, best), np.where(less, np.append(origin[1:], 0), from_)
+        run = np.minimum.accumulate(best - k)
+        less = (run + k < best) & (at >= 1) & (at <= n)
         if less.any():
-            source = np.maximum.accumulate(np.where(best - cols == run, cols, 0))
-            from_ = np.where(less, from_[source], from_)
-            best = np.where(less, insert, best)
+            source = np.maximum.accumulate(np.where(best - k == run, k, 0))
+            from_, best = np.where(less, from_[source], from_), np.where(less, run + k, best)
+        best[(at < 0) | (at > n)] = far
         cost, origin = best, from_
         if cost.min() > most:
             return None
     end = int(np.argmin(cost))
-    return (int(cost[end]), int(origin[end]), end) if cost[end] <= most else None
+    return (int(cost[end]), int(origin[end]), low + m + end) if cost[end] <= most else None
 
 
 def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -195,7 +206,8 @@ def matches(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, in
             e, w, m = index.limits[i][0], int(width[i]), len(index.texts[i])
             a0 = first[t] + max(0, lowest + (b - 1) * w - e)
             a1 = min(first[t + 1] - 1, first[t] + lowest + (b + 1) * w + m + e)
-            got = whole(index.texts[i], code[a0:a1]) or align(index.texts[i], code[a0:a1], e)
+            diagonal = first[t] + lowest + (b - 1) * w - e - a0  # the band's diagonals and e on either side, counted from a0
+            got = whole(index.texts[i], code[a0:a1]) or align(index.texts[i], code[a0:a1], e, int(diagonal), 2 * w + 2 * e)
             if got:
                 edits, s, z = got
                 found.append((t, i, int(place[a0 + s]), int(place[a0 + max(s, z - 1)]) + 1, edits))

@@ -240,6 +240,19 @@ def edits(item, text):
     return min(row)
 
 
+def test_banded_alignment_finds_what_lies_in_the_band():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        item = rng.integers(0, 4, rng.integers(1, 14)).astype(np.uint32)
+        text = rng.integers(0, 4, rng.integers(1, 30)).astype(np.uint32)
+        most = edits(item.tolist(), text.tolist())
+        got = decontam.align(item, text, 99)
+        assert got[0] == most == edits(item.tolist(), text[got[1] : got[2]].tolist())
+        low, wide = int(got[1]) - most, 2 * most + 1  # an alignment strays from its first diagonal by its edits at most
+        assert decontam.align(item, text, most, low, wide)[0] == most
+        assert not most or decontam.align(item, text, most - 1) is None
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
