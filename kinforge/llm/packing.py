@@ -3,12 +3,12 @@
 Documents become ids (a word-level vocabulary, one end id behind each); only longer ones are cut into
 pieces of ``capacity``. What decides a packing is how many pieces there are of each length, and that
 table has ``capacity`` rows at most whatever the corpus holds, so the driver searches for a packing on
-it: bins are completed around the largest length, branches are pruned by the waste they may still have,
-and the best-fit solution is the first incumbent, kept at once where it meets the lower bound. The search
-is not exhaustive, even where it ends by itself: a branch tries ``WIDTH`` fillings at most, found in
-``STEPS`` steps, and each filling is used for as many bins as counts and waste allow, never for fewer.
-Where the bound is not met, fewer bins may thus be possible. Pieces then find their place by their rank
-among those of equal length, which is counted in salted groups.
+it. The best-fit solution is the first incumbent, kept at once where it meets the lower bound. Otherwise
+bins are completed around the largest piece that is left, by all its undominated fillings, least waste
+first; branches are pruned by the waste they may still have and by the lower bound of what they leave.
+A search that ends by itself has found the fewest bins; one that ``NODES`` or ``STEPS`` end has not
+proved it, and a warning gives the bound. Pieces then find their place by their rank among those of
+equal length, which is counted in salted groups.
 
 Defined results: a null text counts as empty (its only id is the end id); repeated rows and null ids are
 packed row by row; an empty table gives an empty one; other columns are ignored.
@@ -16,7 +16,9 @@ packed row by row; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,11 @@ from kinforge.llm.bpe import VOCABULARY, crc, encoder, texts_of, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Branch-and-bound nodes after which the best packing so far is taken.
-NODES = 20_000
-#: Fillings tried around one largest piece, and steps to find them.
-WIDTH, STEPS = 6, 400
+#: Nodes of the search, and steps of its fillings, after which the best packing so far is taken.
+NODES, STEPS = 20_000, 20_000_000
+
+#: Pieces of a salted group of one length, about.
+SALTED = 20_000
 
 Pattern = tuple[tuple[int, int], ...]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,17 +43,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """The larger of the volume bound and Martello and Toth's second bound."""
-    size = np.arange(capacity + 1)
-    n, v = np.cumsum(counts), np.cumsum(counts * size)
-    best = -(-int(v[-1]) // capacity)
+    n, v = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
     half = capacity // 2
-    for a in range(0, half + 1):
-        n1 = int(n[-1] - n[capacity - a])
-        n2 = int(n[capacity - a] - n[half])
-        v2 = int(v[capacity - a] - v[half])
-        v3 = int(v[half] - (v[a - 1] if a else 0))
-        best = max(best, n1 + n2 + max(0, -(-(v3 - (n2 * capacity - v2)) // capacity)))
-    return best
+    a = np.arange(half + 1)
+    large, middle = n[-1] - n[capacity - a], n[capacity - a] - n[half]
+    small = v[half] - np.where(a > 0, v[np.maximum(a - 1, 0)], 0)
+    extra = small - (middle * capacity - (v[capacity - a] - v[half]))
+    return int(max(-(-int(v[-1]) // capacity), (large + middle + np.maximum(0, -(-extra // capacity))).max()))
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
@@ -76,119 +75,157 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     return closed + [x for g in groups.values() for x in g]
 
 
-def fillings(room: int, counts: np.ndarray) -> list[tuple[int, Pattern]]:
-    """Undominated ways to fill ``room``, by waste: largest pieces first, perfect ones found by table look-up."""
-    found: dict[Pattern, int] = {}
-    have = counts[: room + 1]
-    sizes = np.flatnonzero(have)[::-1]
-    steps = 0
-
-    def add(items: list[int], waste: int) -> None:
-        pattern: dict[int, int] = {}
-        for x in items:
-            pattern[x] = pattern.get(x, 0) + 1
-        found[tuple(pattern.items())] = waste
-
-    def search(left: int, top: int, items: list[int]) -> None:
-        nonlocal steps
-        steps += 1
-        if len(found) >= WIDTH or steps > STEPS:
-            return
-        avail = have[: left + 1] > 0
-        for x in set(items):
-            if x <= left and have[x] <= items.count(x):
-                avail[x] = False
-        if left and left <= top and avail[left]:
-            add([*items, left], 0)
+class Fillings:
+    """Ways to fill a bin's room with pieces of a table of lengths that only shrinks."""
+
+    def __init__(self, counts: np.ndarray, room: int, steps: int):
+        self.room, self.steps = room, steps
+        self.sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+        # sums that the lengths from each place on can make, as bits; too many once pieces are gone, never too few
+        self.reach = [1]
+        mask = (1 << (room + 1)) - 1
+        for x in reversed(self.sizes):
+            bits, left, k = self.reach[-1], min(int(counts[x]), room // x), 1
+            while left:
+                k = min(k, left)
+                bits |= bits << (x * k) & mask
+                left -= k
+                k *= 2
+            self.reach.append(bits)
+        self.reach.reverse()
+
+    def _sums(self, counts: np.ndarray, left: int, at: int) -> Iterator[list[int]]:
+        """Multisets of available pieces from place ``at`` on that make ``left`` exactly, larger pieces first."""
+        if not left:
+            yield []
             return
-        both = avail & avail[::-1]
-        both[: (left + 1) // 2] = False
-        both[top + 1 :] = False
-        if left % 2 == 0 and both[left // 2] and have[left // 2] - items.count(left // 2) < 2:
-            both[left // 2] = False
-        pair = np.flatnonzero(both)
-        if left and len(pair):
-            a = int(pair[-1])
-            add([*items, a, left - a], 0)
-            return
-        fits = np.flatnonzero(avail[: top + 1])[::-1]
-        if not len(fits):
-            add(items, left)
-            return
-        for x in fits[: WIDTH * 2].tolist():
-            search(left - x, x, [*items, x])
-            if len(found) >= WIDTH or steps > STEPS:
+        for j in range(at, len(self.sizes)):
+            self.steps -= 1
+            if self.steps < 0 or not self.reach[j] >> left & 1:
                 return
+            x = self.sizes[j]
+            if x <= left and counts[x] > 0 and self.reach[j] >> (left - x) & 1:
+                counts[x] -= 1
+                rest = self._sums(counts, left - x, j)
+                while True:
+                    found = next(rest, None)
+                    counts[x] += 1  # as the caller knows them while it holds the result
+                    if found is None:
+                        break
+                    yield [x, *found]
+                    counts[x] -= 1
 
-    search(room, room, [])
-    if not found:  # steps ran out: fill greedily
-        left, items = room, []
-        taken: dict[int, int] = {}
-        for x in sizes.tolist():
-            k = min(left // x, int(have[x]))
-            if k:
-                taken[x] = k
-                left -= k * x
-        found[tuple(taken.items())] = left
-    return sorted((w, p) for p, w in found.items())
-
+    def undominated(self, counts: np.ndarray, room: int) -> Iterator[tuple[int, Pattern]]:
+        """(waste, filling) of ``room``, least waste first, one at a time; ``counts`` is changed meanwhile.
 
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """(filling, bins) pairs that hold all pieces, in as few bins as the search finds."""
+        A filling is dominated if an available piece fits beside it, or fits in place of several of its
+        pieces or of one smaller piece: whatever bins follow, the other filling leaves them no less room.
+        """
+        for waste in range(room + 1):
+            if not self.reach[0] >> (room - waste) & 1:
+                continue
+            for items in self._sums(counts, room - waste, 0):
+                if not dominated(items, waste, counts, room):
+                    pattern: dict[int, int] = {}
+                    for x in items:
+                        pattern[x] = pattern.get(x, 0) + 1
+                    yield waste, tuple(pattern.items())
+            least = np.flatnonzero(counts)
+            if not len(least) or waste >= least[0] and waste >= room - int((least * counts[least]).sum()):
+                return  # from here on a piece always fits beside, or none is left over
+
+
+def dominated(items: list[int], waste: int, counts: np.ndarray, room: int) -> bool:
+    left = counts[: room + 1].copy()
+    sums = np.zeros(room + 1, dtype=bool)
+    sums[0] = True
+    for x in items:
+        left[x] -= 1
+        sums[x:] |= sums[:-x].copy()
+    x = np.flatnonzero(left > 0)
+    if not len(x):
+        return False
+    if x[0] <= waste:
+        return True
+    made = np.concatenate(([0], np.cumsum(sums)))  # made[k]: sums below k; 0 is one of them
+    top = np.where(np.isin(x, items), x, x + 1)  # another piece of a length in the filling is no gain
+    return bool((made[top] - made[np.maximum(x - waste, 1)] > 0).any())
+
+
+@dataclass
+class Packing:
+    """(filling, bins) pairs, the lower bound, and whether the search went through all it had to."""
+
+    fillings: list[tuple[Pattern, int]]
+    bins: int
+    bound: int
+    complete: bool
+
+
+def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES, steps: int = STEPS) -> Packing:
+    """A packing of all pieces: the best-fit one where it meets the lower bound, else the best that the search finds.
+
+    A node completes a bin around the largest piece that is left. Its branches are all undominated fillings,
+    each for as many bins as there are pieces, then for fewer. Branches end where what they waste, or the
+    lower bound of what they leave, excludes a better packing. The search stops after ``nodes`` nodes or
+    ``steps`` steps of the fillings, numbers that don't depend on the machine.
+    """
     counts = counts.astype(np.int64).copy()
+    size = np.arange(capacity + 1)
     best = best_fit(counts, capacity)
-    bins = sum(m for _, m in best)
-    bound = lower_bound(counts, capacity)
-    total = int((counts * np.arange(capacity + 1)).sum())
+    bins, bound = sum(m for _, m in best), lower_bound(counts, capacity)
+    total = int((counts * size).sum())
     if bins == bound:
-        return best
-    path: list[tuple[Pattern, int, int]] = []
-    frames: list[Iterator[tuple[int, Pattern]]] = []
-    wasted = 0
-    down = True
-    while nodes:
-        if down:
-            nodes -= 1
-            left = np.flatnonzero(counts)
-            if not len(left):
-                used = sum(m for _, m, _ in path)
-                if used < bins:
-                    best, bins = [(p, m) for p, m, _ in path], used
-                    if bins == bound:
-                        break
-                down = False
+        return Packing(best, bins, bound, True)
+    ways = Fillings(counts, capacity, steps)
+
+    def branches(banned: tuple[int, Pattern] | None) -> Iterator[tuple[int, Pattern, int]]:
+        largest = int(np.flatnonzero(counts)[-1])
+        left = counts.copy()
+        left[largest] -= 1
+        for waste, filling in ways.undominated(left, capacity - largest):
+            pattern = dict(filling)
+            pattern[largest] = pattern.get(largest, 0) + 1
+            full = tuple(sorted(pattern.items(), reverse=True))
+            if banned == (largest, full):
                 continue
-            largest = int(left[-1])
-            counts[largest] -= 1
-            frames.append(iter([(w, tuple({largest: 1, **dict(p)}.items()) if largest not in dict(p) else tuple({**dict(p), largest: dict(p)[largest] + 1}.items())) for w, p in fillings(capacity - largest, counts)]))
-            counts[largest] += 1
-        elif len(path) == len(frames) and path:
-            pattern, m, waste = path.pop()
-            for x, k in pattern:
+            for m in range(min(int(counts[x]) // k for x, k in full), 0, -1):
+                yield waste, full, m
+
+    path: list[tuple[int, Pattern, int]] = []
+    frames = [branches(None)]
+    wasted = used = 0
+    while frames and nodes > 0 and ways.steps >= 0:
+        if len(path) == len(frames):
+            waste, full, m = path.pop()
+            for x, k in full:
                 counts[x] += k * m
-            wasted -= waste * m
-        if not frames:
-            break
-        waste, pattern = next(frames[-1], (None, None))
-        if pattern is None:
+            wasted, used = wasted - waste * m, used - m
+        step = next(frames[-1], None)
+        allowed = (bins - 1) * capacity - total - wasted
+        if step is None or step[0] > allowed:  # fillings come by waste
             frames.pop()
-            down = False
             continue
-        m = min(int(counts[x]) // k for x, k in pattern)
-        # waste that the last, partly filled bin may have counts as well
-        allowed = (bins - 1) * capacity - total - wasted
-        if waste:
-            rest = total - sum(x * k * n for p, n, _ in path for x, k in p)
-            if waste > allowed and rest > sum(x * k for x, k in pattern):
-                down = False
-                continue
-            m = max(1, min(m, allowed // waste))
-        for x, k in pattern:
+        waste, full, m = step
+        if waste * m > allowed:
+            continue
+        nodes -= 1
+        for x, k in full:
             counts[x] -= k * m
-        wasted += waste * m
-        path.append((pattern, m, waste))
-        down = True
-    return best
+        path.append(step)
+        wasted, used = wasted + waste * m, used + m
+        if not counts.any():
+            if used < bins:
+                best, bins = [(p, m) for _, p, m in path], used
+                if bins == bound:
+                    return Packing(best, bins, bound, True)
+            frames.append(iter(()))
+        elif used + lower_bound(counts, capacity) >= bins:
+            frames.append(iter(()))
+        else:
+            again = min(int(counts[x]) // k for x, k in full) > 0
+            frames.append(branches((full[0][0], full) if again else None))
+    return Packing(best, bins, bound, not frames)
 
 
 class Slots:
@@ -249,9 +286,13 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["count"]
-    slots = spark.sparkContext.broadcast(Slots(bin_completion(counts, capacity)))  # at most capacity fillings of few lengths each
+    found = bin_completion(counts, capacity)
+    if not found.complete:
+        warnings.warn(f"{found.bins} sequences; {found.bound} are needed at least, and the search ended before it had tried all", stacklevel=2)
+    slots = spark.sparkContext.broadcast(Slots(found.fillings))  # at most capacity fillings of few lengths each
 
-    salts = max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the most frequent length in groups of some thousands
+    salts = max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, int(counts.max()) // SALTED))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
