@@ -1,20 +1,22 @@
 """Scores by a log-bilinear language model, trained with noise-contrastive estimation in numpy.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, and one end token behind each text. Token counts
-cover all training documents: each block of input (a split of a file) gives its words with their counts
+cover all training documents: each block of input (``BLOCK_ROWS`` rows of a file, by the rows' own numbers,
+so that a block is the same in every read, however files are split) gives its words with their counts
 once, these meet by word, and the totals go back to the blocks as side files in the shared folder, so
 that neither the texts nor the vocabulary move as a whole.
 
-The neural model knows the ``SHORTLIST`` most frequent tokens and one symbol for all others. Two context
-words u, v give the scores A[u] + B[v] + b, so the sums that normalise them are one matrix product,
-exp(A) exp(B + b)', for all contexts at once; token probabilities are then look-ups. A token outside the
-shortlist has the probability of the symbol for others, times its smoothed share among them. The model's
-weights are learned from every token of every training document: they start from ``STEPS`` steps on at
-most ``SAMPLE_DOCS`` texts (those with the least hashes of their ids), then each task follows all the
-training texts of its splits once, in steps of ``BATCH`` tokens, and the tasks' weights meet in means,
-each row weighted by how often the task moved it. So steps grow with the corpus, and what a task holds
-and hands on does not. All counts, and so the shortlist, biases, noise and shares, come from every
-training document. Weights depend on how the input is split, within the noise of training.
+The neural model knows the ``SHORTLIST`` most frequent tokens and ``CLASSES`` classes of all others, by
+their hashes; what bounds both is the table of normalisers, which has a place for each two symbols. Two
+context symbols u, v give the scores A[u] + B[v] + b, so the sums that normalise them are one matrix
+product, exp(A) exp(B + b)', for all contexts at once. A token outside the shortlist has the probability
+of its class, times its smoothed share in the class. The model's weights are learned from every token of
+every training document: they start from ``STEPS`` steps on at most ``SAMPLE_DOCS`` texts (those with the
+least hashes of their ids), then each task follows all the training texts of its splits once, in steps of
+``BATCH`` tokens, and the tasks' weights meet in means, each row weighted by how often the task moved it.
+So steps grow with the corpus, and what a task holds and hands on does not. All counts, and so the
+shortlist, biases, noise and shares, come from every training document. Weights depend on how the input
+is split, within the noise of training.
 
 Defined results: a null text is empty (one token, the end); rows without a doc_id are training
 documents; without any training document N and V are 0; repeated rows count each; an empty table gives
@@ -37,7 +39,10 @@ from pyspark.sql import functions as F
 from kinforge.llm._arrays import U, Words, text_slices
 from kinforge.llm._store import bounded_batches, free_shuffles, fresh_path, written
 
-SHORTLIST = 1024
+#: Tokens with a symbol of their own, and classes of the others (a power of two, 256 at most).
+SHORTLIST, CLASSES = 2048, 256
+#: Rows of a block of input, and pairs of a block and a word in one side file, about.
+BLOCK_ROWS, SHARD_PAIRS = 8192, 2_000_000
 DIMENSIONS, NOISE, BATCH, STEPS, RATE = 24, 256, 1024, 2500, 0.15
 SAMPLE_DOCS = 3000
 #: Tasks that add up the weights of all others before the driver gets them.
@@ -118,19 +123,28 @@ class Model:
     words: np.ndarray
     total: int
     distinct: int
-    other_mass: float
+    other_mass: np.ndarray
     target: np.ndarray
     far: np.ndarray
     near: np.ndarray
     bias: np.ndarray
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by the word before the last and by the last one, biases in it, and the normalisers, all log."""
-        a = self.far @ self.target.T
+    def normalisers(self) -> np.ndarray:
+        """[symbol before the last, last symbol], log; made some rows at a time."""
         b = self.near @ self.target.T + self.bias
-        ma, mb = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
-        z = np.log(np.exp(a - ma) @ np.exp(b - mb).T) + ma + mb.T
-        return a.astype(np.float32), b.astype(np.float32), z.astype(np.float32)
+        mb = b.max(axis=1, keepdims=True)
+        b = np.exp(b - mb).T
+        out = np.empty((len(self.far), len(self.near)), dtype=np.float32)
+        for k in range(0, len(out), 256):
+            a = self.far[k : k + 256] @ self.target.T
+            ma = a.max(axis=1, keepdims=True)
+            out[k : k + 256] = np.log(np.exp(a - ma) @ b) + ma + mb.T
+        return out
+
+    def log_probabilities(self, z: np.ndarray, far: np.ndarray, near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of symbols ``ids`` after the symbols ``far`` and ``near``."""
+        h = self.far.take(far, 0) + self.near.take(near, 0)
+        return np.einsum("ij,ij->i", h, self.target.take(ids, 0)).astype(np.float64) + self.bias[ids] - z[far, near]
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,24 +299,33 @@ def mean(start: Weights, parts: list[tuple[list[bytes], list[bytes]]]) -> list[n
     return out
 
 
-def _symbols(t: np.ndarray, words: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(words, t), max(len(words) - 1, 0))
-    return np.where(words[at] == t, at, len(words)) if len(words) else np.zeros(len(t), dtype=np.int64)
+def _symbols(t: np.ndarray, words: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Each token's place in the shortlist, or behind it that of its class."""
+    other = len(words) + (t >> U(56)).astype(np.int64) % classes
+    if not len(words):
+        return other
+    at = np.minimum(np.searchsorted(words, t), len(words) - 1)
+    return np.where(words[at] == t, at, other)
 
 
 def fit(docs: DataFrame, totals: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The model of the training documents in ``docs`` (doc_id, text, held_out), whose token counts are ``totals`` (w, c)."""
     known = totals.filter("c > 0")
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES, dtype=np.int64)
+    of_class = F.shiftrightunsigned("w", 56).cast("int") % CLASSES
+    for r in known.groupBy(of_class.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # CLASSES rows at most
+        mass[r["k"]], kinds[r["k"]] = r["c"], r["n"]
+    n, v = int(mass.sum()), int(kinds.sum())
     end = int(END.view(np.int64))
     top = known.filter(F.col("w") != end).orderBy(F.desc("c"), "w").limit(SHORTLIST - 1).union(known.filter(F.col("w") == end)).collect()
     count = {np.int64(r["w"]).view(U): r["c"] for r in top}
     words = np.array(sorted(count), dtype=U)
-    mass = np.array([count[w] for w in words] + [0], dtype=np.float64)
-    mass[-1] = n - mass.sum()
-    other = mass[-1] + ALPHA * (v - len(words) + 1)
-    unigram = mass + ALPHA
-    unigram[-1] = max(other, ALPHA)
+    for w, c in count.items():
+        mass[int(w >> U(56)) % CLASSES] -= c
+        kinds[int(w >> U(56)) % CLASSES] -= 1
+    # each class has its words and one that was never seen
+    other = mass + ALPHA * (kinds + 1)
+    unigram = np.concatenate((np.array([count[w] for w in words], dtype=np.float64) + ALPHA, other))
     unigram /= unigram.sum()
 
     def learn(batches):
@@ -342,34 +365,43 @@ def fit(docs: DataFrame, totals: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 
     parts = training.select("text").mapInArrow(pass_over, _PART).repartition(MERGERS).mapInArrow(_merge, _PART).collect()
     target, far, near, bias = mean(start, [(r["values"], r["moves"]) for r in parts])
-    return Model(words, int(n), int(v), float(other), target, far, near, bias)
+    return Model(words, n, v, other, target, far, near, bias)
+
+
+def _vocabulary(fs: pafs.FileSystem, folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's words, sorted, and their counts in all training documents."""
+    table = pq.read_table(folder, filesystem=fs, columns=["w", "c"], filters=[("block", "=", block)], partitioning=None)
+    words, first = np.unique(table["w"].to_numpy().view(U), return_index=True)  # parts of a block may repeat a word
+    return words, table["c"].to_numpy()[first]
 
 
 def scores(docs: DataFrame, folds: int = 10, copy: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
-    ``copy=False`` is for a plain scan of files; anything else is written to files first.
+    ``copy=False`` is for a plain scan of Parquet files, whose rows have numbers; anything else is written to such files first.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
-    if copy:
-        source = written(source, "texts")
-    source = source.withColumn("held_out", held_out(folds)).withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    source = written(docs.select("doc_id", "text"), "texts") if copy else docs
+    place = F.col("_metadata")
+    source = source.select("doc_id", "text", held_out(folds).alias("held_out"), F.xxhash64(place["file_path"], F.floor(place["row_index"] / BLOCK_ROWS)).alias("block"))
 
     counts = written(block_counts(source), "block-counts")
     totals = written(counts.groupBy("w").agg(F.sum("n").alias("c")), "totals")
     model = spark.sparkContext.broadcast(fit(source, totals))
     side = fresh_path(spark, "vocabulary")
-    counts.join(totals, "w").select("block", "w", "c").distinct().repartition("block").write.partitionBy("block").parquet(side)
+    shards = -(-counts.count() // SHARD_PAIRS) or 1
+    pairs = counts.join(totals, "w").select("block", "w", "c", F.pmod("block", F.lit(shards)).alias("shard"))
+    # rows of a block lie together in small row groups, which readers find by their statistics
+    pairs.repartition(shards, "shard").sortWithinPartitions("shard", "block", "w").write.option("parquet.block.size", 2 << 20).partitionBy("shard").parquet(side)
     free_shuffles(spark)
 
     def run(batches):
         m: Model = model.value
-        a, b, z = m.tables()
+        z = m.normalisers()
         fs, base = pafs.FileSystem.from_uri(side)
         log10 = np.log(10)
-        rest = np.log(max(m.other_mass, ALPHA))
+        share = np.concatenate((np.zeros(len(m.words)), np.log(m.other_mass)))
         smooth = m.total + ALPHA * (m.distinct + 1)
         at_block, words, count, symbol = None, None, None, None
         for big in batches:
@@ -380,19 +412,15 @@ def scores(docs: DataFrame, folds: int = 10, copy: bool = True) -> DataFrame:
                     batch = part.slice(s, e - s)
                     if blocks[s] != at_block:
                         at_block = blocks[s]
-                        table = pq.read_table(f"{base}/block={at_block}", filesystem=fs, columns=["w", "c"], partitioning=None)
-                        words = table["w"].to_numpy().view(U)
-                        order = np.argsort(words)
-                        words, count = words[order], table["c"].to_numpy()[order]
+                        words, count = _vocabulary(fs, f"{base}/shard={at_block % shards}", at_block)
                         symbol = _symbols(words, m.words)
                     t, first = tokens(batch["text"])
                     at = np.minimum(np.searchsorted(words, t), len(words) - 1)
                     if (words[at] != t).any():
-                        raise RuntimeError("a block of input changed between two reads")
+                        raise RuntimeError("the input changed between two reads")
                     c, ids = count[at], symbol[at]
-                    far, near = contexts(ids, first, len(m.words) + 1)
-                    lp = a[far, ids] + b[near, ids] - z[far, near].astype(np.float64)
-                    lp = np.where(ids == len(m.words), lp + np.log(c + ALPHA) - rest, lp)
+                    lp = m.log_probabilities(z, *contexts(ids, first, len(share)), ids)
+                    lp = np.where(ids >= len(m.words), lp + np.log(c + ALPHA) - share[ids], lp)
                     base_lp = np.log((c + ALPHA) / smooth)
                     size = np.diff(first)
                     yield pa.RecordBatch.from_arrays(

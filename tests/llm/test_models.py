@@ -121,10 +121,56 @@ def test_means_of_tasks_weigh_rows_by_moves():
 
 def test_token_probabilities_are_normalised():
     rng = np.random.default_rng(2)
-    m = lbl.Model(np.arange(1, 6, dtype=np.uint64), 100, 9, 4.0, *(rng.normal(size=(k, lbl.DIMENSIONS)) for k in (6, 7, 7)), rng.normal(size=6))
-    a, b, z = m.tables()
-    p = np.exp(a[:, None, :].astype(float) + b[None, :, :] - z[:, :, None])
+    m = lbl.Model(np.arange(1, 6, dtype=np.uint64), 100, 9, np.array([4.0]), *(rng.normal(size=(k, lbl.DIMENSIONS)) for k in (6, 7, 7)), rng.normal(size=6))
+    z = m.normalisers()
+    far, near, ids = (x.ravel() for x in np.meshgrid(np.arange(7), np.arange(7), np.arange(6), indexing="ij"))
+    p = np.exp(m.log_probabilities(z, far, near, ids)).reshape(7, 7, 6)
     assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
+    score = lambda u, w, y: (m.far[u] + m.near[w]) @ m.target[y] + m.bias[y]
+    for u, w, y in ((0, 1, 2), (6, 6, 5), (3, 6, 0)):
+        plain = math.exp(score(u, w, y)) / sum(math.exp(score(u, w, x)) for x in range(6))
+        assert p[u, w, y] == pytest.approx(plain, abs=1e-4)
+
+
+def test_scores_equal_plain_ones_for_given_weights(spark, monkeypatch):
+    """Every token's probability from the model's own numbers: the symbol's, and in a class the word's share."""
+    kept = []
+    fit = lbl.fit
+    monkeypatch.setattr(lbl, "SHORTLIST", 40)
+    monkeypatch.setattr(lbl, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(lbl, "SHARD_PAIRS", 500)
+    monkeypatch.setattr(lbl, "fit", lambda *a: kept.append(fit(*a)) or kept[-1])
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")[["doc_id", "text"]].head(60)
+    got = {r["doc_id"]: r for r in lbl.scores(spark.createDataFrame(docs)).collect()}
+    m = kept[0]
+    low = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    toks = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None] for i, t in zip(docs.doc_id, docs.text)}
+    hashes = {None: lbl.END}
+    for ts in toks.values():
+        for t in ts[:-1]:
+            if t not in hashes:
+                hashes[t] = lbl.tokens(pa.array([t]))[0][0]
+    counts: dict = {}
+    for i, ts in toks.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for t in ts:
+                counts[t] = counts.get(t, 0) + 1
+    place = {h: k for k, h in enumerate(m.words.tolist())}
+    symbol = lambda t: place.get(int(hashes[t]), len(place) + int(hashes[t] >> np.uint64(56)) % lbl.CLASSES)
+    mass = np.zeros(lbl.CLASSES) + lbl.ALPHA
+    for t, c in counts.items():
+        if symbol(t) >= len(place):
+            mass[symbol(t) - len(place)] += c + lbl.ALPHA
+    assert np.allclose(mass, m.other_mass) and len(place) == 40
+    begin = len(place) + lbl.CLASSES
+    for i, ts in toks.items():
+        ids, total = [begin, begin, *map(symbol, ts)], 0.0
+        for k, t in enumerate(ts):
+            s = (m.far[ids[k]] + m.near[ids[k + 1]]) @ m.target.T + m.bias
+            total += s[ids[k + 2]] - np.log(np.exp(s.astype(float)).sum())
+            if ids[k + 2] >= len(place):
+                total += math.log((counts.get(t, 0) + lbl.ALPHA) / mass[ids[k + 2] - len(place)])
+        assert got[i]["score"] == pytest.approx(total / math.log(10), abs=1e-3, rel=1e-4)
 
 
 def test_contexts_stay_inside_texts():
