@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, but only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_to.isDefined():
             base = set_to.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="kinforge-")
             spark.sparkContext.setCheckpointDir(base)

@@ -19,7 +19,7 @@ def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

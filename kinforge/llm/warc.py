@@ -195,10 +195,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long")
 
 
-def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every page record of the archives in ``manifest``: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload."""
-    columns = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Every page record of the archives in ``manifest``: page_id, url, record_type, refers_to, payload_bytes, payload_digest and, if wanted, payload."""
+    columns = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", payload binary" if payloads else "")
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), *([("payload", pa.binary())] if payloads else [])])
 
     def run(batches):
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -212,8 +212,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                             continue
                         n += 1
                         h = r.headers
-                        rows.append((_page_of(h["warc-record-id"]), h["warc-target-uri"], r.type, _page_of(h.get("warc-refers-to")), int(r.http["content-length"]), h["warc-payload-digest"].removeprefix("sha256:"), r.payload))
-                        size += len(r.payload)
+                        rows.append((_page_of(h["warc-record-id"]), h["warc-target-uri"], r.type, _page_of(h.get("warc-refers-to")), int(r.http["content-length"]), h["warc-payload-digest"].removeprefix("sha256:"), r.payload)[: len(schema)])
+                        size += len(r.payload) if payloads else 0
                         if size > 4 << 20 or len(rows) >= 2000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
                             rows, size = [], 0
@@ -225,10 +225,10 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.mapInArrow(run, columns)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
     """Pages (page_id, url, html) written to archives in the shared folder and read back."""
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     manifest = written(write_archives(with_revisits(pages), folder), "warc-manifest")
     files = manifest.count()
-    return read_archives(manifest.repartition(max(1, min(files, 20_000))), folder)
+    return read_archives(manifest.repartition(max(1, min(files, 20_000))), folder, payloads)
