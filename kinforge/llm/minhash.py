@@ -305,13 +305,14 @@ def _between(threshold: float):
 def connected(groups: DataFrame, load: DataFrame, columns: list[str], threshold: float) -> DataFrame:
     """(id, component) of the rows of ``groups`` (grp, id, n, load) that links inside groups reach.
 
-    ``load`` has ``columns`` of each id. A group of more than one block shares some pivots among all its
+    ``load`` has ``columns`` of each id; these are taken from ``groups`` where it has them. A group of more than one block shares some pivots among all its
     blocks. What is not connected with the largest part of its group after that, meets the whole group.
     """
     g = _blocks("n", "load")
     pivot = (g > 1) & (F.pmod(F.xxhash64("id", F.lit(11)), F.col("n")) < PIVOTS)
-    first = groups.select("grp", "id", F.explode(F.when(pivot, F.sequence(F.lit(0), g - 1)).otherwise(F.array(_block(g)))).alias("i"))
-    first = first.join(load, "id").select("grp", "i", *columns).repartition("grp", "i").sortWithinPartitions("grp", "i")
+    i = F.explode(F.when(pivot, F.sequence(F.lit(0), g - 1)).otherwise(F.array(_block(g)))).alias("i")
+    first = groups.select("grp", *columns, i) if set(columns) <= set(groups.columns) else groups.select("grp", "id", i).join(load, "id")
+    first = first.select("grp", "i", *columns).repartition("grp", "i").sortWithinPartitions("grp", "i")
     sure = written(first.mapInArrow(_inside(threshold), "a long, b long"), "sure")
     result = components(sure)
     large = groups.filter(g > 1)
@@ -329,9 +330,9 @@ def connected(groups: DataFrame, load: DataFrame, columns: list[str], threshold:
     gn, gr = _blocks("n", "load"), F.greatest(F.lit(1), F.least(_blocks("n", "load"), F.ceil(F.col("rest") / BLOCK).cast("int")))
     whole = both.select("grp", "id", "part", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), gr - 1)).alias("i"), _block(gn).alias("j"))
     rest = both.filter("part <> top").select("grp", "id", "part", F.lit(1).alias("side"), _block(gr).alias("i"), F.explode(F.sequence(F.lit(0), gn - 1)).alias("j"))
-    placed = whole.union(rest).join(load, "id").select("grp", "i", "j", "side", "part", *columns).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    placed = whole.union(rest).join(load.select(*columns), "id").select("grp", "i", "j", "side", "part", *columns).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     more = written(placed.mapInArrow(_between(threshold), "a long, b long"), "more")
-    again = components(sure.union(more))
+    again = components(result.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
     drop(sure, more, parts, main, result)
     return again
 
@@ -379,8 +380,8 @@ def links(docs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFra
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").select("text", "grp", "id", "n", "load", "digest", "sig")
     sets = written(texts.mapInArrow(_sets(k), "grp long, id long, n long, load long, sig binary, set binary"), "sets")
     free_shuffles(docs.sparkSession)
-    # one text of each class is enough; a doc_id with several texts stands for several classes
-    out = connected(sets.select("grp", "id", "n", "load").distinct(), sets.select("id", "sig", "set").dropDuplicates(["id", "sig"]), ["id", "sig", "set"], threshold)
+    # rows that repeat a doc_id and a text come twice, which changes nothing; a doc_id with several texts stands for several classes
+    out = connected(sets, sets, ["id", "sig", "set"], threshold)
     drop(sets, sizes, labels)
     return out
 
