@@ -42,10 +42,10 @@ from kinforge.llm._store import bounded_batches, free_shuffles, fresh_path, writ
 #: Tokens with a symbol of their own, and classes of the others (a power of two, 256 at most).
 SHORTLIST, CLASSES = 2048, 256
 #: Rows of a block of input, and pairs of a block and a word in one side file, about.
-BLOCK_ROWS, SHARD_PAIRS = 8192, 2_000_000
-DIMENSIONS, NOISE, BATCH, STEPS, RATE = 24, 256, 1024, 2500, 0.15
+BLOCK_ROWS, SHARD_PAIRS = 8192, 500_000
+DIMENSIONS, NOISE, BATCH, STEPS, RATE = 24, 96, 1024, 2500, 0.15
 SAMPLE_DOCS = 3000
-#: Tasks that add up the weights of all others before the driver gets them.
+#: Tasks that add up the weights of all others, before one adds up theirs for the driver.
 MERGERS = 16
 ALPHA = 0.1
 END = np.uint64(0x5EED0E2D00000001)
@@ -363,7 +363,7 @@ def fit(docs: DataFrame, totals: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
         if w.moves[0].any():
             yield _part([x.astype(np.float64) * n.reshape(-1, *[1] * (x.ndim - 1)) for x, n in zip(w.values, w.moves)], w.moves)
 
-    parts = training.select("text").mapInArrow(pass_over, _PART).repartition(MERGERS).mapInArrow(_merge, _PART).collect()
+    parts = training.select("text").mapInArrow(pass_over, _PART).repartition(MERGERS).mapInArrow(_merge, _PART).repartition(1).mapInArrow(_merge, _PART).collect()
     target, far, near, bias = mean(start, [(r["values"], r["moves"]) for r in parts])
     return Model(words, n, v, other, target, far, near, bias)
 
@@ -391,9 +391,11 @@ def scores(docs: DataFrame, folds: int = 10, copy: bool = True) -> DataFrame:
     model = spark.sparkContext.broadcast(fit(source, totals))
     side = fresh_path(spark, "vocabulary")
     shards = -(-counts.count() // SHARD_PAIRS) or 1
-    pairs = counts.join(totals, "w").select("block", "w", "c", F.pmod("block", F.lit(shards)).alias("shard"))
+    shard = F.pmod(F.hash("block"), F.lit(shards)).alias("shard")  # as rows are dealt by block, so that each task writes one shard
+    pairs = counts.join(totals, "w").select("block", "w", "c", shard)
     # rows of a block lie together in small row groups, which readers find by their statistics
-    pairs.repartition(shards, "shard").sortWithinPartitions("shard", "block", "w").write.option("parquet.block.size", 2 << 20).partitionBy("shard").parquet(side)
+    pairs.repartition(shards, "block").sortWithinPartitions("shard", "block", "w").write.option("parquet.block.size", 2 << 20).partitionBy("shard").parquet(side)
+    source = source.withColumn("shard", shard)
     free_shuffles(spark)
 
     def run(batches):
@@ -412,7 +414,7 @@ def scores(docs: DataFrame, folds: int = 10, copy: bool = True) -> DataFrame:
                     batch = part.slice(s, e - s)
                     if blocks[s] != at_block:
                         at_block = blocks[s]
-                        words, count = _vocabulary(fs, f"{base}/shard={at_block % shards}", at_block)
+                        words, count = _vocabulary(fs, f"{base}/shard={part['shard'][s]}", at_block)
                         symbol = _symbols(words, m.words)
                     t, first = tokens(batch["text"])
                     at = np.minimum(np.searchsorted(words, t), len(words) - 1)
