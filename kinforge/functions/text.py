@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -90,25 +91,49 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _aligned(a: str, b: str) -> float:
-    """Mean of the best alignment of place parts: the shorter list in order, each with its best part left."""
+    """Mean over the shorter list of place parts, in order, of each one's best part left in the other."""
     p, q = ([x.strip() for x in s.split(",") if x.strip()] for s in (a, b))
     if len(p) > len(q):
         p, q = q, p
     if not p:
         return 0.0
-    size, total = len(q), 0.0
+    total = 0.0
     for x in p:
         scores = [jaro_winkler(x, y) for y in q]
         k = max(range(len(q)), key=scores.__getitem__)
         total += scores[k]
         q.pop(k)
-    return total / size
+    return total / len(p)
 
 
 @F.pandas_udf(DoubleType())
 def place_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How well the parts of two folded places agree; parts without a partner count as 0."""
-    return pd.Series([None if x is None or y is None else _aligned(x, y) for x, y in zip(a, b)], dtype="float64")
+    """How well the parts of the shorter of two folded places agree with the other's."""
+    known = lru_cache(maxsize=100_000)(_aligned)
+    return pd.Series([None if x is None or y is None else known(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Greatest Jaro-Winkler of a name in one list with a name in the other; null if either list is empty."""
+    known = lru_cache(maxsize=100_000)(jaro_winkler)
+    out = []
+    for xs, ys in zip(a, b):
+        some = xs is not None and ys is not None and len(xs) and len(ys)
+        out.append(max(known(x, y) for x in xs for y in ys) if some else None)
+    return pd.Series(out, dtype="float64")
+
+
+def collapsed(value: Column) -> Column:
+    """One space for each run of white space, none at the ends."""
+    return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
+
+
+def xref_order(xref: Column) -> list[Column]:
+    """Sort keys of ids: by letters, then by number; ids of another form first, by their text."""
+    form = r"\A@([A-Za-z]*)(\d+)@"
+    fits = xref.rlike(form)
+    return [F.when(fits, F.regexp_extract(xref, form, 1)).otherwise(""), F.when(fits, F.regexp_extract(xref, form, 2).cast("decimal(38,0)")).otherwise(0), F.when(fits, "").otherwise(xref)]
 
 
 def formula_guard(value: Column) -> Column:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the folder of ``spark.checkpoint.dir``; where that is unset, a temporary one."""
+    """``df`` computed and kept in the folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, but only on a local master."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinforge-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="kinforge-"))
     return df.checkpoint(eager=True)

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import re
 import shlex
+import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinforge.functions.metaphone import codes_match, double_metaphone, metaphone
 from kinforge.functions.text import fold, soundex
 from kinforge.operators import graph
 
@@ -37,7 +40,8 @@ class Term:
 
     @property
     def wildcard(self) -> bool:
-        return "*" in self.value or "?" in self.value
+        """Marks stand for other characters only where a part of a text is sought; patterns don't ask."""
+        return self.operator == ":" and ("*" in self.value or "?" in self.value)
 
 
 def _years(value: str) -> tuple[int, int]:
@@ -51,7 +55,7 @@ def _years(value: str) -> tuple[int, int]:
     return lo, hi
 
 
-def parse(query: str) -> list[Term]:
+def parse(query: str, regex: bool = False) -> list[Term]:
     lexer = shlex.shlex(query, posix=True)
     lexer.whitespace_split, lexer.quotes, lexer.escape, lexer.commenters = True, '"', "", ""
     try:
@@ -78,7 +82,7 @@ def parse(query: str) -> list[Term]:
         if years and op == "=" and years[0] != years[1]:
             raise QueryError("= takes a single year")
         term = Term(field, op, value, years)
-        if field not in YEARS and field not in RELATIVES and term.wildcard and len(value.replace("*", "").replace("?", "")) < LEAST_LITERALS:
+        if field not in YEARS and field not in RELATIVES and term.wildcard and not regex and len(value.replace("*", "").replace("?", "")) < LEAST_LITERALS:
             raise QueryError(f"a wildcard needs {LEAST_LITERALS} other characters: {value}")
         terms.append(term)
     return terms
@@ -103,51 +107,116 @@ def check_regex(pattern: str) -> str:
     return pattern
 
 
-def prepared(people: DataFrame) -> DataFrame:
-    """With folded names and places and phonetic codes, computed once for all terms."""
+def _unmarked(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", unicodedata.normalize("NFC", text)) if unicodedata.category(c) != "Mn")
+
+
+def prepared(people: DataFrame, phonetic: str = "soundex") -> DataFrame:
+    """With folded names and places and phonetic codes, computed once for all terms.
+
+    ``alternates`` (array of given, surname), where there is one, has further names of a person.
+    """
+    code = soundex if phonetic == "soundex" else lambda c: F.struct(metaphone(c)["first"].alias("first"), metaphone(c)["second"].alias("second"))
     out = people.withColumn("given_f", fold("given")).withColumn("surname_f", fold("surname")).withColumn("place_f", fold("birth_place"))
+    out = out.withColumn("death_place_f", fold("death_place") if "death_place" in people.columns else F.lit(""))
     out = out.withColumn("name_f", F.trim(F.concat_ws(" ", "given_f", "surname_f")))
-    return out.withColumn("given_s", soundex(F.col("given_f"))).withColumn("surname_s", soundex(F.col("surname_f")))
+    out = out.withColumn("given_s", code(F.col("given_f"))).withColumn("surname_s", code(F.col("surname_f")))
+    if "alternates" not in people.columns:
+        return out.withColumn("others", F.array().cast(OTHERS))
+    # one folded text for each further name, taken apart again: pandas functions don't go inside arrays
+    mark = "\x1f"
+    texts = F.array_join(F.transform("alternates", lambda x: F.concat(F.coalesce(x["given"], F.lit("")), F.lit("\x1e"), F.coalesce(x["surname"], F.lit("")))), mark)
+    out = out.withColumn("others_f", F.when(F.size("alternates") > 0, F.split(fold(texts), mark)).otherwise(F.array().cast("array<string>")))
+    split = lambda x: F.split(x, "\x1e")
+    made = F.transform("others_f", lambda x: F.struct(split(x)[0].alias("given"), split(x)[1].alias("surname"), F.trim(F.concat_ws(" ", split(x)[0], split(x)[1])).alias("name")))
+    return out.withColumn("others", F.coalesce(made, F.array().cast(OTHERS))).drop("others_f")
+
+
+OTHERS = "array<struct<given:string,surname:string,name:string>>"
 
 
 def _text(column: Column, term: Term, regex: bool) -> Column:
-    needle = fold(F.lit(term.value))
+    """Whether a folded text fits a term, whose marks are dropped as the text's were."""
+    needle = _unmarked(term.value).lower()
     if regex:
-        return column.rlike("(?iu)" + check_regex(term.value))
+        check_regex(term.value)
+        try:
+            pattern = check_regex(_unmarked(term.value))
+        except QueryError:
+            pattern = term.value
+        return column.rlike("(?iu)" + pattern)
     if term.wildcard:
-        like = re.sub(r"([\\%_])", r"\\\1", term.value).replace("*", "%").replace("?", "_").lower()
-        return column.like(like)
-    return column == needle if term.operator == "=" else F.contains(column, needle)
+        return column.like(re.sub(r"([\\%_])", r"\\\1", needle).replace("*", "%").replace("?", "_"))
+    return column == F.lit(needle) if term.operator == "=" else F.contains(column, F.lit(needle))
 
 
-def predicate(term: Term, regex: bool = False, fuzzy: int = 0) -> Column:
-    """The condition of one term over :func:`prepared` rows."""
+def _codes(value: str, phonetic: str) -> Column:
+    folded = F.lit(_unmarked(value).lower())
+    if phonetic == "soundex":
+        return soundex(folded)
+    first, second = double_metaphone(value)
+    return F.struct(F.lit(first).alias("first"), F.lit("" if second == first else second).alias("second"))
+
+
+def found(term: Term, regex: bool = False, fuzzy: int = 0, phonetic: str = "soundex") -> Column:
+    """What a term finds in a row of :func:`prepared`: the text that fits first, null if none does."""
     if term.field in YEARS:
         year = F.col(YEARS[term.field])
         wide = F.when(F.col("birth_approximate"), fuzzy).otherwise(0) if term.field == "born" else F.lit(0)
-        return F.coalesce(year.between(F.lit(term.years[0]) - wide, F.lit(term.years[1]) + wide), F.lit(False))
+        return F.when(year.between(F.lit(term.years[0]) - wide, F.lit(term.years[1]) + wide), year.cast("string"))
     if term.field == "sex":
-        return F.lower("sex") == term.value.lower()
+        return F.when(F.lower("sex") == term.value.lower(), F.col("sex"))
+    full = F.trim(F.concat_ws(" ", "given", "surname"))
+    own = {"name": full, "given": F.col("given"), "surname": F.col("surname")}
     if term.operator == "~":
-        code = soundex(fold(F.lit(term.value)))
-        fields = ["given_s", "surname_s"] if term.field == "name" else [f"{term.field}_s"]
-        return (code != "") & code.isin(*map(F.col, fields))
+        code = _codes(term.value, phonetic)
+        same = (lambda c: (c == code) & (c != "")) if phonetic == "soundex" else (lambda c: codes_match(c, code))
+        first = ["surname", "given"] if term.field == "name" else [term.field]
+        if phonetic == "soundex":
+            others = lambda x: reduce(lambda a, b: a | b, [same(soundex(x[f])) for f in first])
+            rest = F.filter("others", others)
+            shown = F.when(same(soundex(rest[0][first[0]])), rest[0][first[0]]).otherwise(rest[0][first[-1]])
+            return F.coalesce(*(F.when(same(F.col(f"{f}_s")), own[f]) for f in first), F.when(F.size(rest) > 0, shown))
+        return F.coalesce(*(F.when(same(F.col(f"{f}_s")), own[f]) for f in first))
     if term.field == "place":
-        return _text(F.col("place_f"), term, regex)
-    fields = ["name_f", "given_f", "surname_f"] if term.field == "name" else [f"{term.field}_f"]
-    out = F.lit(False)
-    for f in fields:
-        out = out | _text(F.col(f), term, regex)
-    return out
-
-
-def run(query: str, people: DataFrame, parents: DataFrame, regex: bool = False, fuzzy: int = 0, limit: int | None = None) -> DataFrame:
-    """People for whom all terms hold, in file order; ``ancestor:x`` means those below x, ``descendant:x`` those above."""
-    terms = parse(query)
-    out = prepared(people)
-    for t in terms:
-        if t.field not in RELATIVES:
-            out = out.filter(predicate(t, regex, fuzzy))
+        place = lambda c, f: F.when((F.col(f) != "") & _text(F.col(f), term, regex), F.col(c))
+        return F.coalesce(place("birth_place", "place_f"), *([place("death_place", "death_place_f")]))
+    fields = ["name", "given", "surname"] if term.field == "name" else [term.field]
+    fits = lambda x: reduce(lambda a, b: a | b, [_text(x[f], term, regex) for f in fields])
+    rest = F.filter("others", fits)
+    shown = F.coalesce(*(F.when(_text(rest[0][f], term, regex), rest[0][f]) for f in fields))
+    return F.coalesce(*(F.when(_text(F.col(f"{f}_f"), term, regex), own[f]) for f in fields), F.when(F.size(rest) > 0, shown))
+
+
+def match_type(term: Term, regex: bool) -> str:
+    if term.years and term.years[0] != term.years[1]:
+        return "range"
+    if term.operator == "=":
+        return "exactly"
+    if term.operator == "~":
+        return "sounds_like"
+    if term.field in YEARS or term.field == "sex":
+        return "exactly"
+    return "regex" if regex else "pattern" if term.wildcard else "contains"
+
+
+def predicate(term: Term, regex: bool = False, fuzzy: int = 0, phonetic: str = "soundex") -> Column:
+    """The condition of one term over :func:`prepared` rows."""
+    return found(term, regex, fuzzy, phonetic).isNotNull()
+
+
+def run(query: str, people: DataFrame, parents: DataFrame, regex: bool = False, fuzzy: int = 0, limit: int | None = None, phonetic: str = "soundex", matches: bool = False) -> DataFrame:
+    """People for whom all terms hold, in file order; ``ancestor:x`` means those below x, ``descendant:x`` those above.
+
+    ``matches`` adds what each term found: an array of field, operator, value, type and text.
+    """
+    terms = parse(query, regex)
+    plain = [t for t in terms if t.field not in RELATIVES]
+    if "death_place" not in people.columns and any(t.field == "place" for t in plain):
+        people = people.withColumn("death_place", F.lit(""))
+    out = prepared(people, phonetic)
+    for t in plain:
+        out = out.filter(predicate(t, regex, fuzzy, phonetic))
     for t in terms:
         if t.field in RELATIVES:
             root = people.filter(F.col("xref") == t.value).select(F.col("id").alias("root"))
@@ -155,5 +224,14 @@ def run(query: str, people: DataFrame, parents: DataFrame, regex: bool = False,
                 raise QueryError(f"no such person: {t.value}")
             reach = graph.descendants(root, parents) if t.field == "ancestor" else graph.ancestors(root, parents)
             out = out.join(reach.filter("depth > 0").select("id"), "id", "left_semi")
-    out = out.select(*people.columns)
+    what = [F.struct(F.lit(t.field).alias("field"), F.lit(t.operator).alias("operator"), F.lit(t.value).alias("value"), F.lit(match_type(t, regex)).alias("type"), found(t, regex, fuzzy, phonetic).alias("text")) for t in plain]
+    out = out.select(*people.columns, *([(F.array(*what) if what else F.array()).alias("matches")] if matches else []))
     return out.orderBy("id").limit(limit) if limit and limit > 0 else out
+
+
+def page(results: DataFrame, limit: int | None) -> tuple[DataFrame, bool]:
+    """The first ``limit`` results in file order, and whether there are more; all where it is 0, negative or none."""
+    if not limit or limit < 0:
+        return results.orderBy("id"), False
+    more = results.orderBy("id").limit(limit + 1)
+    return results.orderBy("id").limit(limit), more.count() > limit

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.operators import graph
+from kinforge.operators._lineage import cut
+from kinforge.sources import gedcom
 
 
 def strip_records(nodes: DataFrame, tags: list[str]) -> DataFrame:
@@ -40,7 +42,7 @@ def strip_empty_families(nodes: DataFrame) -> DataFrame:
     return nodes.filter("record_tag <> 'FAM'").unionByName(nodes.filter("record_tag = 'FAM'").join(full, ["file", "record_id"], "left_semi"))
 
 
-def subtree(root: DataFrame, parents: DataFrame, families: DataFrame, up: int, down: int) -> DataFrame:
+def subtree(root: DataFrame, parents: DataFrame, families: DataFrame, up: int, down: int, spouses: bool = True) -> DataFrame:
     """(id) of the people kept around ``root`` (root): ancestors, descendants, and these people's spouses."""
     core = root.select(F.col("root").alias("id"))
     if up > 0:
@@ -48,6 +50,72 @@ def subtree(root: DataFrame, parents: DataFrame, families: DataFrame, up: int, d
     if down > 0:
         core = core.union(graph.descendants(root, parents, down).select("id"))
     core = core.distinct()
+    if not spouses:
+        return core
     sides = families.filter("husb IS NOT NULL AND wife IS NOT NULL")
-    spouses = sides.join(core, sides["husb"] == core["id"]).select(F.col("wife").alias("id")).union(sides.join(core, sides["wife"] == core["id"]).select(F.col("husb").alias("id")))
-    return core.union(spouses).distinct()
+    partners = sides.join(core, sides["husb"] == core["id"]).select(F.col("wife").alias("id")).union(sides.join(core, sides["wife"] == core["id"]).select(F.col("husb").alias("id")))
+    return core.union(partners).distinct()
+
+
+def subtree_records(nodes: DataFrame, people: DataFrame, rounds: int = 100) -> DataFrame:
+    """(file, xref) of the records that go with ``people`` (file, xref): families with one of them, then sources,
+    notes, media and repositories that any kept record points to, and those that these point to."""
+    members = nodes.filter("record_tag = 'FAM' AND tag IN ('HUSB', 'WIFE', 'CHIL') AND record_xref IS NOT NULL")
+    fams = members.join(people.withColumnRenamed("xref", "who"), (members["file"] == people["file"]) & (F.trim("value") == F.col("who")), "left_semi").select("file", F.col("record_xref").alias("xref"))
+    kept = cut(people.select("file", "xref").union(fams).distinct())
+    defined = nodes.filter("level = 0 AND record_xref IS NOT NULL AND record_tag IN ('SOUR', 'NOTE', 'OBJE', 'REPO')").select("file", F.col("record_xref").alias("target"))
+    uses = nodes.filter("is_pointer AND level > 0 AND record_xref IS NOT NULL").select("file", F.col("record_xref").alias("xref"), F.trim("value").alias("target"))
+    uses = cut(uses.join(defined, ["file", "target"], "left_semi").distinct())
+    front = kept
+    for _ in range(rounds):
+        step = uses.join(front, ["file", "xref"], "left_semi").select("file", F.col("target").alias("xref")).distinct()
+        front = cut(step.join(kept, ["file", "xref"], "left_anti"))
+        if not front.limit(1).count():
+            return kept
+        kept = cut(kept.union(front))
+    raise RuntimeError("records that point to each other did not settle")
+
+
+def keep_records(nodes: DataFrame, kept: DataFrame) -> DataFrame:
+    """Lines of ``kept`` records (file, xref), and of all records without an id or of HEAD, TRLR and SUBM."""
+    always = F.col("record_xref").isNull() | F.col("record_tag").isin("HEAD", "TRLR", "SUBM")
+    rest = nodes.filter(~always)
+    return nodes.filter(always).unionByName(rest.join(kept.withColumnRenamed("xref", "record_xref"), ["file", "record_xref"], "left_semi").select(*nodes.columns))
+
+
+def user_tags(tags: list[str]) -> tuple[list[str], list[str]]:
+    """Tags to strip, in upper case, and those that may not be: a file needs HEAD and TRLR."""
+    wanted = {t.upper() for t in tags}
+    return sorted(wanted - {"HEAD", "TRLR"}), sorted(wanted & {"HEAD", "TRLR"})
+
+
+def filtered(nodes: DataFrame, strip: list[str] = (), custom: bool = False, tags: list[str] = (), kept: DataFrame | None = None) -> DataFrame:
+    """:func:`gedcom.paths` lines after all transforms, in their order: the subtree of ``kept`` records, records
+    of ``strip`` (NOTE, SOUR, OBJE), custom lines, lines of ``strip``, the user's ``tags``, dangling pointers,
+    empty families, and pointers that these leave dangling. A file that loses HEAD or TRLR is an error."""
+    ids = lambda n: n.filter("level = 0 AND record_xref IS NOT NULL").select("file", F.col("record_xref").alias("xref"))
+    out = keep_records(nodes, kept) if kept is not None else nodes
+    strip, (own, _) = [t.upper() for t in strip], user_tags(list(tags))
+    if strip:
+        out = strip_records(out, strip)
+    if custom:
+        out = strip_custom(out)
+    if strip:
+        out = strip_lines(out, strip)
+    if own:
+        out = strip_lines(strip_records(out, own), own)
+    out = cut(strip_dangling(out, ids(nodes).join(ids(out), ["file", "xref"], "left_anti")))
+    full = cut(strip_empty_families(out))
+    full = strip_dangling(full, ids(out).join(ids(full), ["file", "xref"], "left_anti"))
+    broken = gedcom.complete(full).filter("NOT ok").join(gedcom.complete(nodes).filter("ok"), "file", "left_semi").first()
+    if broken:
+        raise ValueError(f"{broken['file']} would lose HEAD or TRLR")
+    return full
+
+
+def record_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file, tag, source, output, removed): records of each kind before and after."""
+    kinds = ("INDI", "FAM", "NOTE", "SOUR", "OBJE", "REPO", "SUBM")
+    count = lambda n, c: n.filter("level = 0 AND tag <> ''").groupBy("file", F.when(F.col("record_tag").isin(*kinds), F.col("record_tag")).otherwise("other").alias("tag")).agg(F.count("*").alias(c))
+    j = count(before, "source").join(count(after, "output"), ["file", "tag"], "left").withColumn("output", F.coalesce("output", F.lit(0)))
+    return j.withColumn("removed", F.col("source") - F.col("output"))
