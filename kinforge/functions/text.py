@@ -63,6 +63,7 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
+@lru_cache(maxsize=1 << 18)
 def jaro_winkler(a: str, b: str) -> float:
     s = jaro(a, b)
     if s <= 0.7:
@@ -78,16 +79,7 @@ def jaro_winkler(a: str, b: str) -> float:
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler of two folded strings; null if either is."""
-    seen: dict[tuple[str, str], float] = {}
-    out = []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-        else:
-            if (x, y) not in seen:
-                seen[x, y] = jaro_winkler(x, y)
-            out.append(seen[x, y])
-    return pd.Series(out, dtype="float64")
+    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def _aligned(a: str, b: str) -> float:
@@ -116,11 +108,10 @@ def place_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Greatest Jaro-Winkler of a name in one list with a name in the other; null if either list is empty."""
-    known = lru_cache(maxsize=100_000)(jaro_winkler)
     out = []
     for xs, ys in zip(a, b):
         some = xs is not None and ys is not None and len(xs) and len(ys)
-        out.append(max(known(x, y) for x in xs for y in ys) if some else None)
+        out.append(max(jaro_winkler(x, y) for x in xs for y in ys) if some else None)
     return pd.Series(out, dtype="float64")
 
 

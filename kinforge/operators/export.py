@@ -6,16 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.functions.text import formula_guard
+from kinforge.sources import gedcom
 
 MAX_AGE = 110
 LIVING = "Living"
 
 
 def living(birth: Column, death: Column, burial: Column | None, marker: Column | None, this_year: int, max_age: int = MAX_AGE) -> Column:
-    """Estimated from marker, death or burial, then birth; unknown counts as living."""
+    """Whether someone is taken to live: a marker that says so; else not, where the birth lies more than ``max_age``
+    years back or there is a death or burial; unknown counts as living."""
     dead = death.isNotNull() | (burial.isNotNull() if burial is not None else F.lit(False))
-    out = F.when(F.coalesce(marker, F.lit(False)), True) if marker is not None else F.when(F.lit(False), True)
-    return out.when(dead, False).when(birth.isNull(), True).otherwise(this_year - birth <= max_age)
+    marked = F.coalesce(marker, F.lit(False)) if marker is not None else F.lit(False)
+    return F.when(marked, True).when(F.coalesce(this_year - birth > max_age, F.lit(False)) | dead, False).otherwise(True)
+
+
+def living_people(nodes: DataFrame, this_year: int, max_age: int = MAX_AGE) -> DataFrame:
+    """(file, xref, living, restricted) of the people of :func:`gedcom.paths` lines, by markers and all their dates."""
+    if max_age < 1:
+        raise ValueError("an age of one year at least")
+    facts = gedcom.life_evidence(nodes, this_year).join(gedcom.markers(nodes).withColumnRenamed("living", "marked"), ["file", "xref"], "left")
+    return facts.select("file", "xref", living(F.col("birth"), F.col("death"), F.col("burial"), F.col("marked"), this_year, max_age).alias("living"), F.coalesce("restricted", F.lit(False)).alias("restricted"))
+
+
+def withheld_families(nodes: DataFrame) -> DataFrame:
+    """(file, xref) of families whose record is to be withheld, whoever lives."""
+    return gedcom.markers(nodes.filter("record_tag = 'FAM'")).filter("restricted").select("file", "xref")
+
+
+def family_labels(fams: DataFrame, people: DataFrame) -> DataFrame:
+    """(id, label): the spouses' surnames, ``?`` for one that is missing."""
+    side = lambda x: people.select(F.col("id").alias(x), F.nullif(F.trim("surname"), F.lit("")).alias(f"{x}_surname"))
+    j = fams.join(side("husb"), "husb", "left").join(side("wife"), "wife", "left")
+    return j.select("id", F.concat(F.coalesce("husb_surname", F.lit("?")), F.lit("/"), F.coalesce("wife_surname", F.lit("?"))).alias("label"))
 
 
 def individuals(people: DataFrame, families: DataFrame, this_year: int, max_age: int = MAX_AGE) -> DataFrame:
@@ -45,15 +67,25 @@ def families(fams: DataFrame, children: DataFrame, people: DataFrame) -> DataFra
     return j.select("id", F.coalesce("husband", F.lit("")).alias("husband"), F.coalesce("wife_name", F.lit("")).alias("wife_name"), "marriage_year", F.coalesce("child_count", F.lit(0)).alias("child_count"), F.coalesce("children", F.lit("")).alias("children"))
 
 
-def redacted_families(rows: DataFrame, fams: DataFrame, living_people: DataFrame) -> DataFrame:
-    """Without living spouses' names; a family with a living spouse has no marriage year; living children go."""
+def redacted_families(rows: DataFrame, fams: DataFrame, living_people: DataFrame, restricted: DataFrame | None = None) -> DataFrame:
+    """Without living spouses' names; a family with a living spouse, or a ``restricted`` one (id), has no marriage year.
+
+    Children's number stays; restricted families are withheld whether or not anybody lives.
+    """
     alive = living_people.filter("living").select("id")
     sides = fams.select(F.col("id").alias("fam"), F.expr("stack(2, 'h', husb, 'w', wife) as (role, id)")).join(alive, "id", "left_semi")
     flags = sides.groupBy(F.col("fam").alias("id")).agg(F.bool_or(F.col("role") == "h").alias("h"), F.bool_or(F.col("role") == "w").alias("w"))
     j = rows.join(flags, "id", "left").withColumn("h", F.coalesce("h", F.lit(False))).withColumn("w", F.coalesce("w", F.lit(False)))
+    if restricted is not None:
+        j = j.join(restricted.select("id", F.lit(True).alias("r")).distinct(), "id", "left").withColumn("h", F.col("h") | F.coalesce("r", F.lit(False))).withColumn("w", F.col("w") | F.coalesce("r", F.lit(False)))
     return j.select("id", F.when(F.col("h"), "").otherwise(F.col("husband")).alias("husband"), F.when(F.col("w"), "").otherwise(F.col("wife_name")).alias("wife_name"), F.when(~F.col("h") & ~F.col("w"), F.col("marriage_year")).alias("marriage_year"), "child_count")
 
 
+def shown_children(children: DataFrame, living_people: DataFrame) -> DataFrame:
+    """(fam, child) without living children."""
+    return children.join(living_people.filter("living").select(F.col("id").alias("child")), "child", "left_anti")
+
+
 def guarded(rows: DataFrame) -> DataFrame:
     """Text columns made safe for spreadsheets."""
     return rows.select(*(formula_guard(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes))

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.functions.dates import parse
-from kinforge.sources.gedcom import MAX_LINE_BYTES
+from kinforge.sources.gedcom import MAX_LINE_BYTES, long_chains, structure
 
-SEXES = ("M", "F", "U", "X")
+SEXES, CAP = ("M", "F", "U", "X"), 10
+#: Codes of which a report shows the first few only.
+CAPPED = ("W002", "W003", "W032", "W035")
 #: Records that something has to refer to, and the code of those that nothing does.
 REFERRED = {"NOTE": "W010", "OBJE": "W011", "SOUR": "W012", "REPO": "W013"}
 DATED = [f"INDI/{t}/DATE" for t in ("BIRT", "CHR", "BAPM", "DEAT", "BURI")] + ["FAM/MARR/DATE"]
@@ -49,11 +51,14 @@ def long_lines(nodes: DataFrame, strict: bool = False) -> DataFrame:
     return _issue(nodes.filter(F.octet_length("raw") > MAX_LINE_BYTES), "W032" if strict else "W003")
 
 
-def custom_tags(nodes: DataFrame) -> DataFrame:
-    """W004: each custom record, and the first use of each custom tag inside records."""
+def custom_tags(nodes: DataFrame, most: int = CAP) -> DataFrame:
+    """W004: each custom record, and the first use of each of the first ``most`` custom tags inside records; one more
+    issue, where the next one stands, says that there are others."""
     own = nodes.filter(F.col("tag").startswith("_"))
     first = own.filter("level > 0").groupBy("file", "tag").agg(F.min_by(F.struct("line_no", "record_xref"), "line_no").alias("f"))
-    return _issue(own.filter("level = 0"), "W004").union(_issue(first.select("file", "f.*"), "W004"))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("f.line_no", "tag"))
+    first = first.withColumn("nth", nth).filter(F.col("nth") <= most + 1).select("file", "f.line_no", F.when(F.col("nth") <= most, F.col("f.record_xref")).alias("record_xref"))
+    return _issue(own.filter("level = 0"), "W004").union(_issue(first, "W004"))
 
 
 def orphans(nodes: DataFrame) -> DataFrame:
@@ -89,5 +94,35 @@ def odd_dates(nodes: DataFrame) -> DataFrame:
 
 
 def all_checks(nodes: DataFrame, strict: str | None = None) -> DataFrame:
-    parts = [after_end(nodes), header(nodes, strict), long_lines(nodes, bool(strict)), custom_tags(nodes), orphans(nodes), sexes(nodes), media(nodes), odd_dates(nodes)]
+    none = F.lit(None).cast("string")
+    formal = structure(nodes).select("file", "code", "line_no", none.alias("xref"))
+    parts = [formal, after_end(nodes), header(nodes, strict), long_lines(nodes, bool(strict)), custom_tags(nodes), orphans(nodes), sexes(nodes), media(nodes), odd_dates(nodes)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def too_long(nodes: DataFrame) -> DataFrame:
+    """(file, line_no, run) of values that are continued over more lines than may be: such a file is to be split first."""
+    return long_chains(nodes)
+
+
+def reported(issues: DataFrame, most: int = CAP) -> DataFrame:
+    """Issues as a report shows them: of the codes in ``CAPPED`` the first ``most`` of each file and one row without a
+    line that has the number of the others in ``suppressed``."""
+    capped = F.col("code").isin(*CAPPED)
+    # first places are sought in small salted groups before each code's
+    salted = issues.filter(capped).withColumn("salt", F.pmod(F.xxhash64("line_no"), F.lit(64)))
+    few = salted.withColumn("r", F.row_number().over(Window.partitionBy("file", "code", "salt").orderBy("line_no"))).filter(F.col("r") <= most)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("file", "code").orderBy("line_no"))).filter(F.col("r") <= most)
+    none = F.lit(0).cast("long").alias("suppressed")
+    rest = issues.filter(capped).groupBy("file", "code").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    rest = rest.select("file", "code", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("xref"), (F.col("n") - most).alias("suppressed"))
+    columns = ["file", "code", "line_no", "xref"]
+    return issues.filter(~capped).select(*columns, none).unionByName(few.select(*columns, none)).unionByName(rest)
+
+
+def tallies(shown: DataFrame) -> DataFrame:
+    """(file, errors, warnings, ok) of :func:`reported` issues, those that it suppressed counted."""
+    weight = F.when(F.col("suppressed") > 0, F.col("suppressed")).otherwise(1)
+    error = F.col("code").startswith("E")
+    out = shown.groupBy("file").agg(F.sum(F.when(error, weight).otherwise(0)).alias("errors"), F.sum(F.when(error, 0).otherwise(weight)).alias("warnings"))
+    return out.withColumn("ok", F.col("errors") == 0)

@@ -66,18 +66,27 @@ def isolated(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).filter("size <= 2")
 
 
-def generation_depth(people: DataFrame, parents: DataFrame, rounds: int = 500) -> DataFrame:
-    """(id, depth): links of the longest line of ancestors, by relaxing from those without parents."""
-    known = cut(people.select("id").join(parents, F.col("id") == F.col("child"), "left_anti").select("id", F.lit(0).alias("depth")))
-    frontier = known
-    best = known
-    for depth in range(1, rounds + 1):
-        step = frontier.join(parents, frontier["id"] == parents["parent"]).select(F.col("child").alias("id")).distinct()
-        frontier = cut(step.withColumn("depth", F.lit(depth)))
-        if not frontier.limit(1).count():
-            break
-        best = best.union(frontier)
-    return best.groupBy("id").agg(F.max("depth").alias("depth"))
+def generation_depth(people: DataFrame, parents: DataFrame) -> DataFrame:
+    """(id, depth): links of the longest line of ancestors.
+
+    Round by round those are settled all of whose parents are; the round is the depth. On a ring of
+    ancestors nobody is ever settled: its members' links to each other are left out then.
+    """
+    links = cut(parents.select("child", "parent").distinct())
+    while True:
+        left, depth = links, 0
+        out = front = cut(people.select("id").union(links.select("parent")).distinct().join(links, F.col("id") == F.col("child"), "left_anti").select("id", F.lit(0).alias("depth")))
+        while front.limit(1).count():
+            depth += 1
+            touched = left.join(front, left["parent"] == front["id"], "left_semi").select(F.col("child").alias("id")).distinct()
+            left = cut(left.join(front, left["parent"] == front["id"], "left_anti"))
+            front = cut(touched.join(left, F.col("id") == F.col("child"), "left_anti").select("id", F.lit(depth).alias("depth")))
+            out = out.union(front)
+        if not left.limit(1).count():
+            return out.join(people.select("id"), "id", "left_semi")
+        ring = cut(cycle_members(left))
+        inner = left.join(ring.withColumnRenamed("id", "child"), "child", "left_semi").join(ring.withColumnRenamed("id", "parent"), "parent", "left_semi")
+        links = cut(links.join(inner, ["child", "parent"], "left_anti"))
 
 
 def cycle_members(parents: DataFrame, rounds: int = 500) -> DataFrame:
@@ -133,3 +142,36 @@ def relationships(primary: DataFrame, people: DataFrame, parents: DataFrame, mos
     out = grouped.join(people.select(F.col("id").alias("target"), "sex"), "target")
     half = (F.col("gp") > 0) & (F.col("gt") > 0) & (F.size("ancestors") < 2)
     return out.select("target", "gp", "gt", "ancestors", half.alias("is_half"), kinship(F.col("gp"), F.col("gt"), F.col("sex")).alias("relation"))
+
+
+def sentence(target: Column, primary: Column, relation: Column, is_half: Column, show_half: bool) -> Column:
+    """What the target is to the primary, in words: "the" for direct lines, "a" or "an" for all others."""
+    shown = F.when(is_half, F.concat(F.lit("half-"), relation)).otherwise(relation) if show_half else relation
+    direct = relation.rlike(r"(?:father|mother|parent|son|daughter|child)\z")
+    article = F.when(direct, "the").when(F.lower(F.substring(shown, 1, 1)).isin(*"aeiou"), "an").otherwise("a")
+    return F.when(relation == "same individual", F.concat(target, F.lit(" and "), primary, F.lit(" are the same individual."))).otherwise(F.concat(target, F.lit(" is "), article, F.lit(" "), shown, F.lit(" of "), primary, F.lit(".")))
+
+
+def relation_paths(primary: DataFrame, people: DataFrame, parents: DataFrame, families: DataFrame, most: int = 30) -> DataFrame:
+    """(target, rank, relation, gp, gt, ancestors, is_half): every kind of relation of ``primary`` (root) to each other person.
+
+    Paths of equal generations are one. Direct lines are never half; siblings are with fewer than two
+    shared parents; any other path is unless one of its ancestors has a partner among all common ones.
+    Of paths with the same name the shortest counts, with the ancestors of all. Shorter paths come first,
+    then full before half, then those with more male ancestors.
+    """
+    up = ancestors(primary, parents, most).select(F.col("id").alias("ancestor"), F.col("depth").alias("gp"))
+    down = descendants(up.select(F.col("ancestor").alias("root")), parents, most).select(F.col("root").alias("ancestor"), F.col("id").alias("target"), F.col("depth").alias("gt"))
+    shared = cut(up.join(down, "ancestor"))
+    sides = families.filter("husb IS NOT NULL AND wife IS NOT NULL").select(F.expr("stack(2, husb, wife, wife, husb) as (ancestor, partner)")).distinct()
+    paired = shared.join(sides, "ancestor").join(shared.select(F.col("ancestor").alias("partner"), "target"), ["partner", "target"], "left_semi").select("target", "gp", "gt").distinct().withColumn("paired", F.lit(True))
+    males = people.filter("sex = 'M'").select(F.col("id").alias("ancestor"), F.lit(1).alias("male"))
+    groups = shared.groupBy("target", "gp", "gt").agg(F.collect_set("ancestor").alias("ancestors")).join(paired, ["target", "gp", "gt"], "left")
+    half = F.when((F.col("gp") == 0) | (F.col("gt") == 0), False).when((F.col("gp") == 1) & (F.col("gt") == 1), F.size("ancestors") < 2).otherwise(F.col("paired").isNull())
+    named = groups.join(people.select(F.col("id").alias("target"), "sex"), "target").select("target", "gp", "gt", "ancestors", half.alias("is_half"), kinship(F.col("gp"), F.col("gt"), F.col("sex")).alias("relation"))
+    best = F.min(F.struct((F.col("gp") + F.col("gt")).alias("gens"), "gp", "gt")).alias("best")
+    kinds = named.groupBy("target", "relation", "is_half").agg(best, F.array_sort(F.array_distinct(F.flatten(F.collect_list("ancestors")))).alias("ancestors"))
+    counted = kinds.select("target", "relation", "is_half", F.explode("ancestors").alias("ancestor")).join(males, "ancestor").groupBy("target", "relation", "is_half").agg(F.sum("male").alias("males"))
+    kinds = kinds.join(counted, ["target", "relation", "is_half"], "left").withColumn("males", F.coalesce("males", F.lit(0)))
+    order = Window.partitionBy("target").orderBy("best.gens", "is_half", F.desc("males"), "best.gp", "relation")
+    return kinds.select("target", F.row_number().over(order).alias("rank"), "relation", "best.gp", "best.gt", "ancestors", "is_half")

@@ -6,31 +6,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.functions.dates import decade, year_closeness
-from kinforge.functions.text import fold, place_similarity, similarity, soundex
+from kinforge.functions.metaphone import metaphone
+from kinforge.functions.text import best_similarity, fold, place_similarity, similarity, soundex
 from kinforge.operators._lineage import cut
 
 WEIGHTS = {"surname": 0.30, "given": 0.20, "birth_year": 0.20, "death_year": 0.10, "birth_place": 0.10, "death_place": 0.05, "sex": 0.05}
+CORROBORATING = ("birth_year", "death_year", "birth_place", "death_place")
 CERTAIN, PROBABLE, BLOCK_CAP, SEX_PENALTY = 0.85, 0.65, 500, 0.7
 
 
-def prepared(people: DataFrame) -> DataFrame:
-    """id with folded names and places, phonetic codes and years."""
-    p = people.select("id", fold("given").alias("given"), fold("surname").alias("surname"), "sex", "birth_year", "death_year", fold("birth_place").alias("birth_place"))
-    return p.withColumn("given_code", soundex(F.col("given"))).withColumn("surname_code", soundex(F.col("surname")))
+def prepared(people: DataFrame, phonetic: str = "soundex") -> DataFrame:
+    """id with folded names and places, phonetic codes and years.
 
-
-def block_keys(p: DataFrame) -> DataFrame:
-    """(id, pass, key) of five passes; a pass gives no key where a part is missing."""
+    ``alternates`` (array of given, surname), where there is one, has a person's further names; those that
+    differ from the first count in scores, never in codes. Double Metaphone has a second code for each name.
+    """
+    has = "alternates" in people.columns
+    death = fold("death_place") if "death_place" in people.columns else F.lit("")
+    p = people.select("id", fold("given").alias("given"), fold("surname").alias("surname"), "sex", "birth_year", "death_year", fold("birth_place").alias("birth_place"), death.alias("death_place"), *([F.col("alternates")] if has else []))
+    if phonetic == "metaphone":
+        p = p.withColumn("g", metaphone(F.col("given"))).withColumn("s", metaphone(F.col("surname")))
+        p = p.withColumn("given_code", F.col("g.first")).withColumn("surname_code", F.col("s.first")).withColumn("surname_code_2", F.col("s.second")).drop("g", "s")
+    else:
+        p = p.withColumn("given_code", soundex(F.col("given"))).withColumn("surname_code", soundex(F.col("surname"))).withColumn("surname_code_2", F.lit(""))
+    if has:
+        for c in ("given", "surname"):
+            # one text for all, taken apart again: pandas functions don't go inside arrays
+            texts = F.split(fold(F.array_join(F.transform(F.col(f"alternates.{c}"), lambda x: F.coalesce(x, F.lit(""))), "\x1f")), "\x1f")
+            p = p.withColumn(f"{c}s", F.array_distinct(F.filter(F.concat(F.array(c), F.coalesce(texts, F.array().cast("array<string>"))), lambda x: x != "")))
+        p = p.drop("alternates")
+    return p
+
+
+def block_keys(p: DataFrame, phonetic: str = "soundex") -> DataFrame:
+    """(id, pass, key) of five passes, of Double Metaphone seven; a pass gives no key where a part is missing."""
     s, g = F.nullif(F.col("surname_code"), F.lit("")), F.nullif(F.col("given_code"), F.lit(""))
     year = F.concat(F.col("birth_year").cast("string"), F.lit("|"), F.col("death_year").cast("string"))
     keys = [F.concat(s, F.lit("|"), decade(F.col("birth_year"))), F.concat(s, F.lit("|"), decade(F.col("death_year"))), F.concat(g, F.lit("|"), decade(F.col("birth_year"))), year, F.concat(s, F.lit("|"), g)]
-    return p.select("id", F.posexplode(F.array(*keys)).alias("pass", "key")).filter("key IS NOT NULL")
+    out = p.select("id", F.posexplode(F.array(*keys)).alias("pass", "key"))
+    if phonetic == "metaphone":
+        # either code of the surname, with the decade of birth and with the given name
+        both = F.explode(F.array_distinct(F.array(s, F.nullif(F.col("surname_code_2"), F.lit(""))))).alias("code")
+        more = p.select("id", both, decade(F.col("birth_year")).alias("born"), g.alias("g"))
+        for k, part in ((5, "born"), (6, "g")):
+            out = out.union(more.select("id", F.lit(k).alias("pass"), F.concat("code", F.lit("|"), part).alias("key")))
+    return out.filter("key IS NOT NULL")
 
 
 def block_sizes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("pass", "key").agg(F.count("*").alias("n"))
 
 
+def checked(certain: float, probable: float, cap: int) -> None:
+    """Refuses thresholds and caps that make no sense."""
+    if not (0 <= probable < certain <= 1):
+        raise ValueError("thresholds must be within 0 and 1, certain above probable")
+    if cap < 1:
+        raise ValueError("a block holds one person at least")
+
+
 def candidates(left: DataFrame, right: DataFrame, cap: int = BLOCK_CAP, same: bool = False) -> DataFrame:
     """(a, b) that share a key of some pass whose block on the right side is within ``cap``; within one file, a < b."""
     small = block_sizes(right).filter(F.col("n") <= cap)
@@ -49,32 +83,33 @@ def scores(pairs: DataFrame, left: DataFrame, right: DataFrame, reject_sex_misma
     side = lambda p, x: p.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in p.columns if c != "id"))
     j = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
     text = lambda c, f: F.when((F.col(f"{c}_a") != "") & (F.col(f"{c}_b") != ""), f(F.col(f"{c}_a"), F.col(f"{c}_b")))
+    name = (lambda c: best_similarity(F.col(f"{c}s_a"), F.col(f"{c}s_b"))) if "surnames" in left.columns else (lambda c: text(c, similarity))
     sexes = F.col("sex_a").isin("M", "F") & F.col("sex_b").isin("M", "F")
+    codes = lambda x: F.filter(F.array(f"surname_code_{x}", f"surname_code_2_{x}"), lambda c: c != "")
     j = j.select(
-        "a", "b", text("surname", similarity).alias("surname"), text("given", similarity).alias("given"),
+        "a", "b", name("surname").alias("surname"), name("given").alias("given"),
         year_closeness(F.col("birth_year_a"), F.col("birth_year_b")).alias("birth_year"), year_closeness(F.col("death_year_a"), F.col("death_year_b")).alias("death_year"),
-        text("birth_place", place_similarity).alias("birth_place"), F.when(sexes & (F.col("sex_a") == F.col("sex_b")), 1.0).alias("sex"),
-        (sexes & (F.col("sex_a") != F.col("sex_b"))).alias("sex_mismatch"), ((F.col("surname_code_a") == F.col("surname_code_b")) & (F.col("surname_code_a") != "")).alias("codes_match"),
+        text("birth_place", place_similarity).alias("birth_place"), text("death_place", place_similarity).alias("death_place"), F.when(sexes & (F.col("sex_a") == F.col("sex_b")), 1.0).alias("sex"),
+        (sexes & (F.col("sex_a") != F.col("sex_b"))).alias("sex_mismatch"), F.arrays_overlap(codes("a"), codes("b")).alias("codes_match"),
     )
-    fields = ["surname", "given", "birth_year", "death_year", "birth_place", "sex"]
+    fields = list(WEIGHTS)
     weight = sum((F.when(F.col(c).isNotNull(), WEIGHTS[c]).otherwise(0.0) for c in fields), F.lit(0.0))
     total = sum((F.coalesce(F.col(c) * WEIGHTS[c], F.lit(0.0)) for c in fields), F.lit(0.0)) / F.nullif(weight, F.lit(0.0))
     total = F.when(F.col("codes_match") & F.col("surname").between(0.5, 0.85), F.least(total + 0.05, F.lit(1.0))).otherwise(total)
     total = F.when(F.col("sex_mismatch"), 0.0 if reject_sex_mismatch else total * SEX_PENALTY).otherwise(total)
     present = sum((F.col(c).isNotNull().cast("int") for c in fields), F.lit(0))
-    others = sum((F.col(c).isNotNull().cast("int") for c in fields[2:]), F.lit(0))
-    return j.withColumn("fields", present).withColumn("name_only", others == 0).withColumn("total", F.coalesce(total, F.lit(0.0)))
+    others = sum((F.col(c).isNotNull().cast("int") for c in CORROBORATING), F.lit(0))
+    return j.withColumn("fields", present).withColumn("name_only", (others == 0) & (present > 0)).withColumn("insufficient_data", (present < 3) | (others == 0)).withColumn("total", F.coalesce(total, F.lit(0.0)))
 
 
 def classified(scored: DataFrame, certain: float = CERTAIN, probable: float = PROBABLE) -> DataFrame:
-    if not (0 <= probable < certain <= 1):
-        raise ValueError("thresholds must be within 0 and 1, certain above probable")
+    checked(certain, probable, 1)
     t = F.col("total")
     kind = F.when(F.col("fields") < 3, "non_match").when((F.col("name_only") | (F.col("fields") == 3)) & (t >= probable), "probable")
     return scored.withColumn("class", kind.when((F.col("fields") > 3) & ~F.col("name_only") & (t >= certain), "certain").when((F.col("fields") > 3) & (t >= probable), "probable").otherwise("non_match"))
 
 
-def greedy(scored: DataFrame, same: bool, rounds: int = 200) -> DataFrame:
+def greedy(scored: DataFrame, same: bool) -> DataFrame:
     """One-to-one matches, best total (four places) first, ties by ids: pairs that are best for both sides are
     taken together, round by round, which gives what taking one pair after the other gives.
 
@@ -82,7 +117,7 @@ def greedy(scored: DataFrame, same: bool, rounds: int = 200) -> DataFrame:
     """
     left = cut(scored.select("a", "b", F.round("total", 4).alias("total")))
     out = None
-    for _ in range(rounds):
+    while True:  # each round takes a pair at least
         order = F.struct((-F.col("total")).alias("t"), "a", "b")
         ends = left.select(F.concat(F.lit("" if same else "a"), F.col("a").cast("string")).alias("end"), order.alias("o")).union(left.select(F.concat(F.lit("" if same else "b"), F.col("b").cast("string")), order))
         best = ends.groupBy("end").agg(F.min("o").alias("o"))
@@ -98,7 +133,6 @@ def greedy(scored: DataFrame, same: bool, rounds: int = 200) -> DataFrame:
         left = cut(left)
         if not left.limit(1).count():
             return out
-    raise RuntimeError("matching did not settle")
 
 
 def unmatched(people: DataFrame, matches: DataFrame, side: str) -> DataFrame:
@@ -107,7 +141,7 @@ def unmatched(people: DataFrame, matches: DataFrame, side: str) -> DataFrame:
 
 def field_differences(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, field, value_a, value_b) of what differs; missing years as ``?``."""
-    fields = ["given", "surname", "sex", "birth_year", "death_year", "birth_place"]
+    fields = ["given", "surname", "sex", "birth_year", "death_year", "birth_place", "death_place"]
     side = lambda p, x: p.select(F.col("id").alias(x), *(F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(f"{c}_{x}") for c in fields))
     j = pairs.select("a", "b").join(side(left, "a"), "a").join(side(right, "b"), "b")
     all_ = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"{c}_a").alias("value_a"), F.col(f"{c}_b").alias("value_b")) for c in fields))

@@ -33,6 +33,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 12 + 1).cast("int").alias("birth_month"),
         (n % 5 == 0).alias("birth_approximate"),
         F.concat_ws(", ", "source", "lang").alias("birth_place"),
+        F.when(death.isNotNull(), F.concat_ws(", ", "lang", "source")).otherwise("").alias("death_place"),
         (n % 4).cast("int").alias("source_count"),
         F.when(n % 3 != 0, F.concat(F.lit("trade "), (n % 3).cast("string"))).otherwise("").alias("occupation"),
         F.when(i >= 18, F.floor((i - 18) / 4)).cast("long").alias("famc"),
@@ -79,7 +80,7 @@ people AS (
     CAST(1700 + n_chars % 250 AS INTEGER) AS birth_year,
     CASE WHEN doc_id % 5 <> 0 THEN CAST(1720 + n_chars % 250 + (n_chars * 7) % 80 AS INTEGER) END AS death_year,
     CAST(n_chars % 12 + 1 AS INTEGER) AS birth_month, n_chars % 5 = 0 AS birth_approximate,
-    source || ', ' || lang AS birth_place, CAST(n_chars % 4 AS INTEGER) AS source_count,
+    source || ', ' || lang AS birth_place, CASE WHEN doc_id % 5 <> 0 THEN lang || ', ' || source ELSE '' END AS death_place, CAST(n_chars % 4 AS INTEGER) AS source_count,
     CASE WHEN n_chars % 3 <> 0 THEN 'trade ' || (n_chars % 3) ELSE '' END AS occupation,
     CASE WHEN doc_id >= 18 THEN (doc_id - 18) // 4 END AS famc, lang, n_chars AS note_length
   FROM documents

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from kinforge.plans import catalog
+from kinforge.plans import catalog, catalog_files  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
