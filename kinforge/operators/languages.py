@@ -71,11 +71,11 @@ def note_rows(nodes: DataFrame) -> DataFrame:
 def language_of(text: Column) -> Column:
     """The language of a composed text with letters: ``unknown`` where none owns a share of ``FLOOR`` of
     the words that any language owns, and ``MARGIN`` more than the next one."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), " "), lambda w: w != "")
+    words = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), F.lit(" "))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     share = lambda p: (letters - F.length(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}]", ""), p, ""))) / letters
     scripts = [F.when(share(p) > 0.5 if code != "ja" else share(p) > 0.1, code) for code, p in [("ja", _SCRIPTS["ja"]), *((c, p) for c, p in _SCRIPTS.items() if c != "ja")]]
-    within = lambda known: F.size(F.filter(words, lambda w: w.isin(*known))).cast("double")
+    within = lambda known: F.regexp_count(words, F.lit(f"(?<= )(?:{'|'.join(sorted(known))})(?= )")).cast("double")
     claimed = F.greatest(F.lit(1.0), within({w for known in WORDS.values() for w in known.split()}))
     ranked = F.sort_array(F.array(*(F.struct((within(known.split()) / claimed).alias("share"), F.lit(code).alias("code")) for code, known in WORDS.items())), asc=False)
     sure = (ranked[0]["share"] >= FLOOR) & (ranked[0]["share"] - ranked[1]["share"] >= MARGIN)

@@ -85,7 +85,7 @@ _SAVED_SQL = f"SELECT file || '.ged' AS file, count(*) + 3 AS lines FROM (SELECT
 def _saved(w: World, name: str) -> str:
     folder = shared_folder(w.spark, name)
     lines = _lines(w, _SAVED(), ends=True).withColumn("file", F.concat("file", F.lit(".ged")))
-    writer.write(lines, folder).collect()  # one row a file
+    writer.write(lines, folder)
     return folder
 
 
@@ -202,7 +202,7 @@ _ALL = _FOLD + _LINK.rstrip() + _SCORED
 query("linkage_totals", "SELECT a, b, round(total, 6) AS total, n AS fields, n > 0 AND facts = 0 AS name_only, n < 3 OR facts = 0 AS insufficient_data, class FROM judged", _ALL)(lambda w: _scored(w).select("a", "b", F.round("total", 6).alias("total"), "fields", "name_only", "insufficient_data", "class"))
 query("linkage_classified", "SELECT class, count(*) AS n FROM judged GROUP BY class", _ALL)(lambda w: _scored(w).groupBy("class").agg(F.count("*").alias("n")))
 query("linkage_matches_by_id", "SELECT a, b, round(total, 4) AS total, class FROM judged WHERE class <> 'non_match'", _ALL)(lambda w: _scored(w).filter("class <> 'non_match'").select("a", "b", F.round("total", 4).alias("total"), "class"))
-_TAKEN = """, ranked AS (SELECT a, b, round(total, 4) AS total, row_number() OVER (ORDER BY round(total, 4) DESC, a, b) AS r FROM judged WHERE class <> 'non_match'{where}
+_TAKEN = """, ranked AS MATERIALIZED (SELECT a, b, round(total, 4) AS total, row_number() OVER (ORDER BY round(total, 4) DESC, a, b) AS r FROM judged WHERE class <> 'non_match'{where}
 ), walk(r, used, a, b, total, took) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), false
   UNION ALL SELECT k.r, CASE WHEN list_contains(used, k.a) OR list_contains(used, k.b) THEN used ELSE list_append(list_append(used, k.a), k.b) END, k.a, k.b, k.total, NOT (list_contains(used, k.a) OR list_contains(used, k.b)) FROM walk JOIN ranked k ON k.r = walk.r + 1)"""
 query("duplicates_greedy", "SELECT a, b, total FROM walk WHERE took", _ALL + _TAKEN.format(where=""))(lambda w: linkage.greedy(_scored(w).filter("class <> 'non_match'"), same=True))

@@ -113,6 +113,17 @@ def decoded(content: bytes, name: str | None = None) -> tuple[str, str, str | No
     return text[1:] if marked and text.startswith("\ufeff") else text, codec, "E008" if bad or "\ufffd" in text and codec == "ansel" else None
 
 
+def _sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and bytes of the files that ``path`` means; readers leave out empty ones."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(jpath)
+    if not found:
+        raise ValueError(f"no such file: {path}")
+    files = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return [(f.getPath().toString(), f.getLen()) for f in files if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+
+
 def input_issues(spark: SparkSession, path: str) -> DataFrame:
     """(file, code, detail) of files that can't be read as they are: too large, empty, or E008 where they don't decode."""
     every = spark.read.format("binaryFile").load(path)
@@ -121,8 +132,8 @@ def input_issues(spark: SparkSession, path: str) -> DataFrame:
     def code(content: pd.Series) -> pd.Series:
         return content.map(lambda b: decoded(b)[2])
 
-    sizes = every.filter((F.col("length") > MAX_FILE_BYTES) | (F.col("length") == 0))
-    sizes = sizes.select(F.col("path").alias("file"), F.when(F.col("length") == 0, "EMPTY").otherwise("TOO_LARGE").alias("code"), F.concat(F.col("length"), F.lit(" bytes")).alias("detail"))
+    wrong = [(f, "EMPTY" if n == 0 else "TOO_LARGE", f"{n} bytes") for f, n in _sizes(spark, path) if n == 0 or n > MAX_FILE_BYTES]
+    sizes = spark.createDataFrame(wrong, "file string, code string, detail string")
     rest = every.filter((F.col("length") <= MAX_FILE_BYTES) & (F.col("length") > 0)).withColumn("code", code("content")).filter("code IS NOT NULL")
     return sizes.union(rest.select(F.col("path").alias("file"), "code", F.lit("bytes that the encoding doesn't have").alias("detail")))
 
@@ -205,7 +216,7 @@ def individuals(nodes: DataFrame) -> DataFrame:
     )
     part = lambda k: F.trim(F.regexp_extract(F.coalesce("name", F.lit("")), r"^([^/]*)(?:/([^/]*)/(.*))?$", k))
     birth, death, burial = parse(F.col("birth_date")), parse(F.col("death_date")), parse(F.col("burial_date"))
-    return g.select("file", "xref", F.coalesce("givn", part(1)).alias("given"), F.coalesce("surn", part(2)).alias("surname"), part(3).alias("suffix"), F.upper(F.coalesce("sex", F.lit(""))).alias("sex"), birth.alias("birth"), F.coalesce(birth["year"], parse(F.col("chr_date"))["year"], parse(F.col("bapm_date"))["year"]).alias("birth_year"), F.coalesce(death["year"], burial["year"]).alias("death_year"), burial.alias("burial"), F.coalesce("birth_place", F.lit("")).alias("birth_place"), F.coalesce("death_place", F.lit("")).alias("death_place"), "famc", "fams", "source_count", "has_note")
+    return g.select("file", "xref", "record_id", F.coalesce("givn", part(1)).alias("given"), F.coalesce("surn", part(2)).alias("surname"), part(3).alias("suffix"), F.upper(F.coalesce("sex", F.lit(""))).alias("sex"), birth.alias("birth"), F.coalesce(birth["year"], parse(F.col("chr_date"))["year"], parse(F.col("bapm_date"))["year"]).alias("birth_year"), F.coalesce(death["year"], burial["year"]).alias("death_year"), burial.alias("burial"), F.coalesce("birth_place", F.lit("")).alias("birth_place"), F.coalesce("death_place", F.lit("")).alias("death_place"), "famc", "fams", "source_count", "has_note")
 
 
 def family_rows(nodes: DataFrame) -> DataFrame:
@@ -213,7 +224,7 @@ def family_rows(nodes: DataFrame) -> DataFrame:
     f = nodes.filter("record_tag = 'FAM'")
     last = lambda p: F.max_by("value", F.when(F.col("path") == p, F.col("line_no")))
     kids = F.transform(F.array_sort(F.collect_list(F.when(F.col("path") == "FAM/CHIL", F.struct("line_no", "value")))), lambda x: x["value"])
-    return f.groupBy("file", F.col("record_xref").alias("xref")).agg(last("FAM/HUSB").alias("husb"), last("FAM/WIFE").alias("wife"), kids.alias("children"), parse(_first("FAM/MARR/DATE"))["year"].alias("marriage_year"))
+    return f.groupBy("file", F.col("record_xref").alias("xref")).agg(F.min("record_id").alias("record_id"), last("FAM/HUSB").alias("husb"), last("FAM/WIFE").alias("wife"), kids.alias("children"), parse(_first("FAM/MARR/DATE"))["year"].alias("marriage_year"))
 
 
 def usages(nodes: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinforge.operators._lineage import cut
 from kinforge.sources import gedcom
 
 #: What a target's name means, and its mark (fixed values).
@@ -76,7 +77,7 @@ def write(lines: DataFrame, folder: str, codec: str = "utf-8", mark: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, again = TaskContext.get().taskAttemptId(), TaskContext.get().attemptNumber() > 0  # a lost attempt may have left its file
         made: list[tuple[str, int, int]] = []
         name, out, n, size = None, None, 0, 0
 
@@ -85,7 +86,7 @@ def write(lines: DataFrame, folder: str, codec: str = "utf-8", mark: bool = Fals
                 return
             out.close()
             target = f"{base}/{name}"
-            if not overwrite and fs.get_file_info(target).type != pafs.FileType.NotFound:
+            if not overwrite and not again and fs.get_file_info(target).type != pafs.FileType.NotFound:
                 fs.delete_file(f"{target}.{attempt}.part")
                 raise FileExistsError(target)
             fs.move(f"{target}.{attempt}.part", target)
@@ -112,7 +113,7 @@ def write(lines: DataFrame, folder: str, codec: str = "utf-8", mark: bool = Fals
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "lines", "bytes"])
 
-    return one.mapInArrow(run, "path string, lines long, bytes long")
+    return cut(one.mapInArrow(run, "path string, lines long, bytes long"))  # written now, and once
 
 
 def convert(spark: SparkSession, path: str, folder: str, to: str = "UTF-8", source: str | None = None, mark: bool = False, normalize: bool = True, dry_run: bool = False, overwrite: bool = False) -> DataFrame:
@@ -143,7 +144,7 @@ def convert(spark: SparkSession, path: str, folder: str, to: str = "UTF-8", sour
     lines = with_char(lines.select("file", "line_no", "raw"), to.upper())
     out = names.join(census(lines, codec), "file").select("file", "source_codec", F.lit(codec).alias("target_codec"), "lines", "long_lines", F.lit(not dry_run).alias("written"))
     if not dry_run:
-        write(lines, folder, codec, mark, overwrite, line_ends(spark, path)).collect()  # one row a file
+        write(lines, folder, codec, mark, overwrite, line_ends(spark, path))
     return out
 
 
