@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.functions.text import xref_order
-from kinforge.operators import export, file_checks, graph, languages, linkage, search, stats, transform, validate
+from kinforge.operators import codes, export, file_checks, graph, languages, linkage, search, stats, transform, validate
 from kinforge.reports import TEXT_LIMIT, Report
 from kinforge.sources import gedcom, writer
 from kinforge.sources.trees import Tree
@@ -111,7 +111,7 @@ def _validate(t: Tree, a: argparse.Namespace, r: Report) -> None:
     if not a.quick:
         issues = issues.unionByName(semantic(t))
     shown = file_checks.reported(issues)
-    r.add("issues", shown.orderBy("file", F.col("line_no").asc_nulls_last(), "code"), _limit(a))
+    r.add("issues", shown.withColumn("meaning", codes.meaning(F.col("code"))).orderBy("file", F.col("line_no").asc_nulls_last(), "code"), _limit(a))
     r.add("tallies", file_checks.tallies(shown))
     r.add("continued too far", file_checks.too_long(n))
     r.code = 1 if r.sections[1].rows and any(x["errors"] for x in r.sections[1].rows) else 0
@@ -221,17 +221,11 @@ def _relationship(t: Tree, a: argparse.Namespace, r: Report) -> None:
 
 
 def _export(t: Tree, a: argparse.Namespace, r: Report) -> None:
-    year = date.today().year
-    living = export.living_people(t.nodes, year, a.max_age)
-    people = export.individuals(t.people, t.families, year, a.max_age).drop("living").join(t.people.select("id", "file", "xref"), "id").join(living.select("file", "xref", "living"), ["file", "xref"])
-    rows = people
-    if a.table == "families":
-        rows = export.families(t.families, t.children, t.people)
-        if a.redact_living:
-            withheld = t.families.join(export.withheld_families(t.nodes), ["file", "xref"], "left_semi").select("id")
-            rows = export.redacted_families(rows, t.families, people.select("id", "living"), withheld)
-    elif a.redact_living:
-        rows = export.redacted(people)
+    rows = (export.individual_rows if a.table == "individuals" else export.family_rows)(t.nodes)
+    if a.redact_living:
+        alive = export.living_people(t.nodes, date.today().year, a.max_age)
+        rows = export.redacted_rows(rows, alive) if a.table == "individuals" else export.redacted_family_rows(rows, alive, export.withheld_families(t.nodes))
+    rows = rows.drop("file").orderBy(*xref_order(F.col("xref")))
     if a.output:
         (export.write_csv if a.to == "csv" else export.write_json)(rows, a.output, a.force)
         r.notices.append(f"{rows.count():,} rows in {a.output}")

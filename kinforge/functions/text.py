@@ -127,6 +127,24 @@ def xref_order(xref: Column) -> list[Column]:
     return [F.when(fits, F.regexp_extract(xref, form, 1)).otherwise(""), F.when(fits, F.regexp_extract(xref, form, 2).cast("decimal(38,0)")).otherwise(0), F.when(fits, "").otherwise(xref)]
 
 
+def display_name(given: Column, surname: Column, suffix: Column | None = None, xref: Column | None = None) -> Column:
+    """Given name and surname, the suffix where there is one; with ``xref``, someone without a name by their id."""
+    parts = [F.nullif(F.trim(c), F.lit("")) for c in (given, surname, suffix) if c is not None]
+    name = F.concat_ws(" ", *parts)
+    return name if xref is None else F.when(name == "", F.concat(F.lit("[Unknown] ("), xref, F.lit(")"))).otherwise(name)
+
+
+def sex_of(value: Column, style: str) -> Column:
+    """A SEX line's value as a command takes it: ``upper``, ``trimmed`` or both (``plain``); ``binary``: M, F or nothing."""
+    value = F.coalesce(value, F.lit(""))
+    if style == "upper":
+        return F.upper(value)
+    if style == "trimmed":
+        return F.trim(value)
+    plain = F.upper(F.trim(value))
+    return plain if style == "plain" else F.when(plain.isin("M", "F"), plain).otherwise("")
+
+
 def formula_guard(value: Column) -> Column:
     """An apostrophe before what a spreadsheet would take for a formula, white space and control signs skipped."""
     return F.when(value.rlike(r"^[\s\p{Cc}\p{Cf}&&[^\t\r]]*[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinforge.functions.dates import canonical
 from kinforge.functions.text import formula_guard
 from kinforge.sources import gedcom
 
@@ -86,9 +87,77 @@ def shown_children(children: DataFrame, living_people: DataFrame) -> DataFrame:
     return children.join(living_people.filter("living").select(F.col("id").alias("child")), "child", "left_anti")
 
 
+def _joined(nodes: DataFrame, path: str, sep: str, name: str, where: Column | None = None) -> Column:
+    """All values of a path in a record, in their order, joined."""
+    hit = (F.col("path") == path) if where is None else (F.col("path") == path) & where
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("line_no", F.trim("value").alias("value"))))), lambda x: x["value"]), sep).alias(name)
+
+
+def individual_rows(nodes: DataFrame) -> DataFrame:
+    """The 17 columns of a person for export, and file, from :func:`gedcom.paths` lines: dates as they stand in the
+    file, years and places with their fallbacks, occupations and families joined, the suffix of the first name."""
+    n = gedcom.folded(nodes.filter("record_tag = 'INDI'"))
+    first = lambda path: F.min_by("value", F.when(F.col("path") == f"INDI/{path}", F.col("line_no")))
+    g = n.groupBy("file", F.col("record_xref").alias("xref")).agg(
+        *(first(f"{t}/DATE").alias(f"{t}_date") for t in ("BIRT", "CHR", "BAPM", "DEAT", "BURI")), *(first(f"{t}/PLAC").alias(f"{t}_place") for t in ("BIRT", "CHR", "BAPM", "DEAT", "BURI")),
+        _joined(n, "INDI/OCCU", "; ", "occupations", F.trim(F.coalesce("value", F.lit(""))) != ""), first("FAMC").alias("famc"), _joined(n, "INDI/FAMS", ";", "fams_xrefs"),
+    )
+    own = gedcom.individuals(nodes).select("file", "xref", "given", "surname", "suffix", "sex", "birth_year", "death_year", "source_count")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    born = F.coalesce("BIRT_date", "CHR_date", "BAPM_date")
+    return own.join(g, ["file", "xref"]).select(
+        "file", "xref", "given", "surname", text(F.col("suffix")).alias("suffix"), F.trim("sex").alias("sex"), text(canonical(born)).alias("birth_date"), "birth_year", text(F.coalesce("BIRT_place", "CHR_place", "BAPM_place")).alias("birth_place"),
+        text(canonical(F.col("DEAT_date"))).alias("death_date"), "death_year", text(F.col("DEAT_place")).alias("death_place"), text(canonical(F.col("BURI_date"))).alias("burial_date"), text(F.col("BURI_place")).alias("burial_place"),
+        "occupations", "source_count", text(F.trim("famc")).alias("famc_xref"), "fams_xrefs",
+    )
+
+
+def family_rows(nodes: DataFrame) -> DataFrame:
+    """The 10 columns of a family for export, and file: spouses with their names, the wedding, children in their order."""
+    f = gedcom.family_rows(nodes)
+    m = nodes.filter("record_tag = 'FAM'").groupBy("file", F.col("record_xref").alias("xref")).agg(*(F.min_by("value", F.when(F.col("path") == f"FAM/MARR/{t}", F.col("line_no"))).alias(t) for t in ("DATE", "PLAC")))
+    names = gedcom.individuals(nodes).select("file", F.col("xref").alias("who"), F.trim(F.concat_ws(" ", "given", "surname")).alias("name"))
+    for side, kind in (("husb", "husband"), ("wife", "wife")):
+        who = names.withColumnRenamed("who", side).withColumnRenamed("name", f"{kind}_name")
+        f = f.withColumn(side, F.trim(side)).join(who, ["file", side], "left")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return f.join(m, ["file", "xref"], "left").select(
+        "file", "xref", text(F.col("husb")).alias("husband_xref"), text(F.col("husband_name")).alias("husband_name"), text(F.col("wife")).alias("wife_xref"), text(F.col("wife_name")).alias("wife_name"), text(canonical(F.col("DATE"))).alias("marriage_date"), "marriage_year",
+        text(F.col("PLAC")).alias("marriage_place"), F.size("children").alias("child_count"), F.array_join(F.transform("children", F.trim), ";").alias("children_xrefs"),
+    )
+
+
+def redacted_rows(rows: DataFrame, alive: DataFrame) -> DataFrame:
+    """:func:`individual_rows` in which the living of ``alive`` (file, xref, living) keep id, sex and number of sources."""
+    j = rows.join(alive.select("file", "xref", "living"), ["file", "xref"], "left").withColumn("living", F.coalesce("living", F.lit(True)))
+    keep = ("file", "xref", "sex", "source_count")
+    blank = lambda c, t: F.when(F.col("living"), F.lit(LIVING) if c == "given" else F.lit("") if t == "string" else F.lit(None).cast(t)).otherwise(F.col(c)).alias(c)
+    return j.select(*(F.col(c) if c in keep else blank(c, t) for c, t in rows.dtypes))
+
+
+def redacted_family_rows(rows: DataFrame, alive: DataFrame, restricted: DataFrame) -> DataFrame:
+    """:func:`family_rows` without living spouses, their wedding and living children; families of ``restricted``
+    (file, xref) show neither spouses nor wedding, whether or not anybody lives. The number of children stays."""
+    living = alive.filter("living").select("file", F.col("xref").alias("who"))
+    j = rows
+    for kind in ("husband", "wife"):
+        j = j.join(living.select("file", F.col("who").alias(f"{kind}_xref"), F.lit(True).alias(f"{kind}_lives")), ["file", f"{kind}_xref"], "left")
+    kids = rows.select("file", "xref", F.posexplode(F.split("children_xrefs", ";")).alias("k", "who")).join(living, ["file", "who"], "left_anti")
+    kids = kids.groupBy("file", "xref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "who"))), lambda x: x["who"]), ";").alias("shown"))
+    j = j.join(kids, ["file", "xref"], "left").join(restricted.select("file", "xref", F.lit(True).alias("held")).distinct(), ["file", "xref"], "left")
+    held, h, w = (F.coalesce(c, F.lit(False)) for c in ("held", "husband_lives", "wife_lives"))
+    hide = lambda flag, c, other="": F.when(flag, other).otherwise(F.col(c)).alias(c)
+    any_ = held | h | w
+    return j.select(
+        "file", "xref", hide(held | h, "husband_xref"), hide(held | h, "husband_name", LIVING), hide(held | w, "wife_xref"), hide(held | w, "wife_name", LIVING), hide(any_, "marriage_date"), F.when(~any_, F.col("marriage_year")).alias("marriage_year"),
+        hide(any_, "marriage_place"), "child_count", F.coalesce("shown", F.lit("")).alias("children_xrefs"),
+    )
+
+
 def guarded(rows: DataFrame) -> DataFrame:
-    """Text columns made safe for spreadsheets."""
-    return rows.select(*(formula_guard(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes))
+    """Text columns made safe for spreadsheets; columns of ids stay as they are, their @ begins no formula that could do harm."""
+    ids = lambda c: c.endswith(("xref", "xrefs"))
+    return rows.select(*(formula_guard(F.col(c)).alias(c) if t == "string" and not ids(c) else F.col(c) for c, t in rows.dtypes))
 
 
 def write_csv(rows: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -141,6 +141,21 @@ def _by(order: list[Column]):
     return Window.orderBy(*order)
 
 
+_TOLD_LIFE = lambda: F.filter(F.array(_say("0 @I", _id(), "@ INDI"), _say("1 NAME ", F.col("given"), " /", F.col("surname"), "/ Jr"), _say("1 SEX ", F.col("sex")), F.lit("1 BIRT"), F.when(F.col("id") % 4 != 0, _say("2 DATE ABT ", F.col("birth_year").cast("string"))), F.lit("1 CHR"), _say("2 DATE ", (F.col("birth_year") + 1).cast("string")), _say("2 PLAC ", F.col("birth_place")), F.lit("1 OCCU first"), F.when(F.col("id") % 2 == 0, "1 OCCU second"), F.when(F.col("death_year").isNotNull(), "1 BURI"), F.when(F.col("death_year").isNotNull(), _say("2 DATE ", F.col("death_year").cast("string"))), F.lit("1 FAMS @F1@"), F.lit("1 FAMS @F2@"), F.lit("1 FAMC @F3@"), F.when(F.col("id") % 2 == 0, "1 SOUR @S1@")), lambda x: x.isNotNull())
+_ROWS = """SELECT '@I' || id || '@' AS xref, given, surname, 'Jr' AS suffix, sex, CASE WHEN id % 4 <> 0 THEN 'ABT ' || birth_year ELSE CAST(birth_year + 1 AS VARCHAR) END AS birth_date, CASE WHEN id % 4 <> 0 THEN birth_year ELSE birth_year + 1 END AS birth_year, birth_place, '' AS death_date, death_year, '' AS death_place,
+  coalesce(CAST(death_year AS VARCHAR), '') AS burial_date, '' AS burial_place, CASE WHEN id % 2 = 0 THEN 'first; second' ELSE 'first' END AS occupations, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS source_count, '@F3@' AS famc_xref, '@F1@;@F2@' AS fams_xrefs FROM people WHERE given <> '' AND surname <> ''"""
+query("export_individual_rows", _ROWS)(lambda w: export.individual_rows(_nodes(_lines(w, _TOLD_LIFE(), "given <> '' AND surname <> ''"))).drop("file"))
+_HIDDEN = "(death_year IS NULL OR death_year > 2001) AND 2000 - birth_year - 1 <= 110"
+query("export_redacted_rows", f"SELECT xref, CASE WHEN living THEN 'Living' ELSE given END AS given, CASE WHEN NOT living THEN birth_year END AS birth_year, CASE WHEN living THEN '' ELSE occupations END AS occupations, source_count FROM (SELECT r.*, {_HIDDEN.replace('birth_year', 'p.birth_year').replace('death_year', 'p.death_year')} AS living FROM ({_ROWS}) r JOIN people p ON p.xref = r.xref)")(
+    lambda w: (lambda n: export.redacted_rows(export.individual_rows(n), export.living_people(n, TODAY)).select("xref", "given", "birth_year", "occupations", "source_count"))(_nodes(_lines(w, _TOLD_LIFE(), "given <> '' AND surname <> ''")))
+)
+query("export_family_rows", "SELECT '@F' || f.id || '@' AS xref, '@I' || husb || '@' AS husband_xref, h.given || ' ' || h.surname AS husband_name, coalesce('@I' || wife || '@', '') AS wife_xref, coalesce(w.given || ' ' || w.surname, '') AS wife_name, coalesce(CAST(marriage_year AS VARCHAR), '') AS marriage_date, marriage_year, '' AS marriage_place, CAST(n AS INTEGER) AS child_count, kids AS children_xrefs FROM families f JOIN people h ON h.id = husb LEFT JOIN people w ON w.id = wife JOIN (SELECT fam, count(*) AS n, string_agg('@I' || child || '@', ';' ORDER BY child) AS kids FROM children GROUP BY 1) ON fam = f.id WHERE h.given <> '' AND h.surname <> '' AND coalesce(w.given, 'x') <> '' AND coalesce(w.surname, 'x') <> ''")(
+    lambda w: export.family_rows(_nodes(gedcom.tree_lines(w.people, w.families, w.children, F.lit("one")))).drop("file").join(w.people.filter("given = '' OR surname = ''").select(F.col("xref").alias("husband_xref")), "husband_xref", "left_anti").join(w.people.filter("given = '' OR surname = ''").select(F.col("xref").alias("wife_xref")), "wife_xref", "left_anti")
+)
+query("text_display_names", "SELECT id, CASE WHEN id % 5 = 0 THEN '[Unknown] (' || xref || ')' ELSE trim(given || ' ' || surname) END AS name, CASE WHEN sex IN ('M', 'F') THEN sex ELSE '' END AS sex FROM people WHERE given <> '' AND surname <> ''")(
+    lambda w: w.people.filter("given <> '' AND surname <> ''").select("id", text.display_name(F.when(F.col("id") % 5 == 0, "").otherwise(F.col("given")), F.when(F.col("id") % 5 == 0, " ").otherwise(F.col("surname")), F.lit(""), F.col("xref")).alias("name"), text.sex_of(F.concat(F.lit(" "), F.lower("sex")), "binary").alias("sex"))
+)
+
 # --- dates
 _K = lambda: F.col("id") % 8
 _y = lambda: F.col("birth_year").cast("string")
