@@ -222,9 +222,10 @@ def brute_components(docs, k):
     return [len(s) for s in sets], [find(x) for x in range(len(docs))]
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,load", [(1024, 1 << 19), (4, 1 << 19), (1024, 150)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, load):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LOAD", load)
     monkeypatch.setattr(minhash, "PIVOTS", 1)
     docs = near_docs()
     sizes, roots = brute_components(docs, 4)
@@ -272,6 +273,12 @@ def test_archives_hold_what_went_in(spark):
     assert all(bytes(r["payload"]) == big.encode() for r in got if r["page_id"] == 1)
 
 
+def test_a_very_long_page_comes_back(spark):
+    page = "<p>" + "word é " * 600_000
+    row = warc.round_trip(spark.createDataFrame([(1, "http://a", page)], "page_id long, url string, html string")).first()
+    assert (row["payload_bytes"], row["payload_digest"]) == (len(page.encode()), hashlib.sha256(page.encode()).hexdigest()) and bytes(row["payload"]) == page.encode()
+
+
 def test_broken_archives_are_refused():
     good = warc.page_record(7, "http://a", b"payload", None)
     assert [r.payload for r in warc.read_records(io.BytesIO(good + good))] == [b"payload"] * 2
