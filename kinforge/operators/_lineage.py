@@ -1,4 +1,4 @@
-"""Ends of lineage for iterative operators."""
+"""Ends of lineage for iterative operators: tables written to the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
@@ -8,19 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, but only on a local master."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="kinforge-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, as a URI, below the one of ``spark.checkpoint.dir``."""
-    cut(spark.range(0))  # sets the folder where it is unset
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """A new folder, as a URI, below the one of ``spark.checkpoint.dir``; where that is unset, below a temporary
+    one, but only on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        sc = spark.sparkContext
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kinforge-"))
+        base = sc._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/kinforge/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed now and read again from the shared folder."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

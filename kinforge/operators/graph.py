@@ -9,21 +9,28 @@ from kinforge.functions.text import ordinal
 from kinforge.operators._lineage import cut
 
 
+#: Rounds after which what has been reached before is taken out of the frontier.
+SETTLE = 8
+
+
 def _reach(roots: DataFrame, links: DataFrame, most: int) -> DataFrame:
     """(root, id, depth): everything that links (here, there) lead to, at its least depth; roots at 0.
 
-    A frontier goes on one link a round and leaves out what a root has seen, so cycles end.
+    A frontier goes on one link a round. Lines that meet again are rare, so what was reached before is left
+    out every ``SETTLE`` rounds only, which is enough for rings to end; least depths are taken at the end.
     """
-    links = links.select("here", "there").distinct()
-    seen = cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct())
-    frontier = seen
+    links = cut(links.select("here", "there").distinct())
+    seen = frontier = cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct())
     for depth in range(1, most + 1):
         step = frontier.join(links, frontier["id"] == links["here"]).select("root", F.col("there").alias("id")).distinct()
-        frontier = cut(step.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if depth % SETTLE == 0:
+            seen = cut(seen.groupBy("root", "id").agg(F.min("depth").alias("depth")))
+            step = step.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        frontier = cut(step.withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
-    return seen
+    return cut(seen.groupBy("root", "id").agg(F.min("depth").alias("depth")))
 
 
 def ancestors(roots: DataFrame, parents: DataFrame, most: int = 50) -> DataFrame:
