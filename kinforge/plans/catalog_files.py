@@ -182,7 +182,8 @@ _search("search_alternate_surname", "surname_f = 'and' OR (id % 9 = 0 AND given_
 _search("search_alternate_given", "contains(given_f, 'zolt') OR id % 9 = 0", lambda w: search.run("given:zolt", _more(w), w.parents))
 _search("search_marks_wildcard", "surname_f LIKE 'lale%elle'", lambda w: search.run("surname:lalé*elle", w.people, w.parents))
 _search("search_marks_regex", "regexp_matches(surname_f, '^lale+n')", lambda w: search.run("surname:^lalé+n", w.people, w.parents, regex=True))
-_search("search_exact_star", "surname_f = '*'", lambda w: search.run("surname=*", w.people, w.parents))
+_stars = lambda w: w.people.withColumn("surname", F.when(F.col("id") % 40 == 0, "*").otherwise(F.col("surname")))
+query("search_exact_star", "SELECT id, given FROM searched WHERE id % 40 = 0 OR surname_f = '*'", _FOLD)(lambda w: search.run("surname=*", _stars(w), w.parents).select("id", "given"))
 _search("search_death_place", "contains(lower(death_place), 'de, src')", lambda w: search.run('place:"de, src"', w.people, w.parents))
 _search("search_sex", "sex = 'F'", lambda w: search.run("sex:F", w.people, w.parents))
 query("search_matches", "SELECT id, given || ' ' || surname AS text, 'contains' AS type FROM searched WHERE contains(name_f, 'ther') AND given <> '' AND surname <> ''", _FOLD)(lambda w: search.run("ther", w.people, w.parents, matches=True).filter("given <> '' AND surname <> ''").select("id", F.col("matches")[0]["text"].alias("text"), F.col("matches")[0]["type"].alias("type")))
