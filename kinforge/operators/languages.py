@@ -8,8 +8,13 @@ leaves short and mixed texts, and those of languages with much the same words, u
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kinforge.functions.text import collapsed, display_form
 from kinforge.sources import gedcom
@@ -48,6 +53,8 @@ WORDS = {
     "tr": "ve bir bu da de için ile olarak çok daha olan gibi",
     "la": "et in est non ad cum ex qui sunt ut filius anno de natus",
 }
+#: Runs of letters, and of the few digits that Python takes for parts of words.
+_RUNS = re.compile(r"[^\W\d_]+")
 _SCRIPTS = {"el": r"\p{IsGreek}", "ar": r"\p{IsArabic}", "he": r"\p{IsHebrew}", "ko": r"\p{IsHangul}", "ja": r"[\p{IsHiragana}\p{IsKatakana}]", "zh": r"\p{IsHan}"}
 
 
@@ -68,25 +75,45 @@ def note_rows(nodes: DataFrame) -> DataFrame:
     return used.unionByName(alone).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
+@F.pandas_udf(StringType())
+def _by_words(texts: pd.Series) -> pd.Series:
+    """The language whose frequent words have a share of ``FLOOR`` of all such words and ``MARGIN`` more than the next; null if none has."""
+    owners: dict[str, list[str]] = {}
+    for code, words in WORDS.items():
+        for w in set(words.split()):
+            owners.setdefault(w, []).append(code)
+
+    def one(text: str) -> str | None:
+        found = _RUNS.findall(text)
+        if not "".join(found).isalpha():  # digits that are no decimals count as parts of words there
+            found = "".join(c if c.isalpha() else " " for c in text).split()
+        claimed, own = 0, dict.fromkeys(WORDS, 0)
+        for w, n in Counter(" ".join(found).lower().split(" ")).items():
+            if w in owners:
+                claimed += n
+                for code in owners[w]:
+                    own[code] += n
+        (first, code), (second, _) = sorted(((n / max(claimed, 1), code) for code, n in own.items()), reverse=True)[:2]
+        return code if first >= FLOOR and first - second >= MARGIN else None
+
+    return texts.map(one, na_action="ignore")
+
+
 def language_of(text: Column) -> Column:
     """The language of a composed text with letters: ``unknown`` where none owns a share of ``FLOOR`` of
-    the words that any language owns, and ``MARGIN`` more than the next one."""
-    words = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), F.lit(" "))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    share = lambda p: (letters - F.length(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}]", ""), p, ""))) / letters
+    the words that any language owns, and ``MARGIN`` more than the next one. Each text is gone through once,
+    and for scripts only if it has signs beyond Latin ones."""
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    share = lambda p: F.regexp_count(text, F.lit(f"[\\p{{L}}&&{p}]")) / letters
     scripts = [F.when(share(p) > 0.5 if code != "ja" else share(p) > 0.1, code) for code, p in [("ja", _SCRIPTS["ja"]), *((c, p) for c, p in _SCRIPTS.items() if c != "ja")]]
-    within = lambda known: F.regexp_count(words, F.lit(f"(?<= )(?:{'|'.join(sorted(known))})(?= )")).cast("double")
-    claimed = F.greatest(F.lit(1.0), within({w for known in WORDS.values() for w in known.split()}))
-    ranked = F.sort_array(F.array(*(F.struct((within(known.split()) / claimed).alias("share"), F.lit(code).alias("code")) for code, known in WORDS.items())), asc=False)
-    sure = (ranked[0]["share"] >= FLOOR) & (ranked[0]["share"] - ranked[1]["share"] >= MARGIN)
-    return F.coalesce(*scripts, F.when(sure, ranked[0]["code"]), F.lit("unknown"))
+    return F.coalesce(F.when(text.rlike(r"[^\x{0}-\x{36F}]"), F.coalesce(*scripts)), _by_words(text), F.lit("unknown"))
 
 
 def detected(notes: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
-    """Rows of ``notes`` with ``lang``, null where a text is shorter than ``least``. Each different text is looked at once."""
-    texts = notes.select("text").distinct().withColumn("plain", F.trim(display_form("text")))
+    """Rows of ``notes`` that have a text with ``lang``, null where it is shorter than ``least``."""
+    plain = F.trim(display_form("text"))
     lang = F.when(F.length("plain") < least, F.lit(None).cast("string")).when(~F.col("plain").rlike(r"\p{L}"), "unknown").otherwise(language_of(F.col("plain")))
-    return notes.join(texts.select("text", lang.alias("lang")), "text")
+    return notes.filter("text IS NOT NULL").withColumn("plain", plain).withColumn("lang", lang).drop("plain")
 
 
 def name_of(code: Column) -> Column:
