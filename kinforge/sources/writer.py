@@ -72,7 +72,8 @@ def write(lines: DataFrame, folder: str, codec: str = "utf-8", mark: bool = Fals
     """
     lines = lines.select("file", "line_no", "raw")
     lines = lines.join(ends, "file", "left").withColumn("eol", F.coalesce("eol", F.lit("\n"))) if ends is not None else lines.withColumn("eol", F.lit("\n"))
-    one = lines.repartition("file").sortWithinPartitions("file", "line_no")
+    # a window, as Spark may leave a mere repartition out behind the join and then read its shuffle where it lies: several tasks would write one file
+    one = lines.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("line_no")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
