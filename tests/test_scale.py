@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from kinforge.functions import text
-from kinforge.operators import languages, linkage
+from kinforge.operators import graph, languages, linkage
 from kinforge.plans import catalog, catalog_files  # noqa: F401
 
 
@@ -85,3 +85,17 @@ def test_greedy_goes_through_long_chains_in_few_rounds(spark, monkeypatch):
             got = linkage.greedy(spark.createDataFrame(rows, "a long, b long, total double"), same, slab)
             assert {tuple(r) for r in got.collect()} == expected
             assert slab == 100 or len(cuts) <= 3
+
+
+def test_rounds_of_graphs_send_no_tables_to_the_driver(spark, monkeypatch):
+    plans = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(plan(df)) or real(df))
+    parents = spark.createDataFrame([(i, i // 2) for i in range(1, 40)] + [(101, 102), (102, 101), (103, 101)], "child long, parent long")
+    people = parents.select(F.col("child").alias("id")).union(parents.select("parent")).distinct()
+    depths = {r["id"]: r["depth"] for r in graph.generation_depth(people, parents).collect()}
+    assert depths == {i: i.bit_length() for i in range(40)} | {101: 0, 102: 0, 103: 1}
+    reach = graph.ancestors(people.filter("id = 39").withColumnRenamed("id", "root"), parents).collect()
+    assert {(r["id"], r["depth"]) for r in reach} == {(39 >> k, k) for k in range(7)}
+    assert {r["component"] for r in graph.components(people, parents.selectExpr("child as a", "parent as b")).collect()} == {0, 101}
+    assert plans and not any("Broadcast" in p for p in plans)
