@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinforge.functions.dates import parse
+from kinforge.operators._lineage import cut
 from kinforge.sources.gedcom import MAX_LINE_BYTES, long_chains, structure
 
 SEXES, CAP = ("M", "F", "U", "X"), 10
@@ -94,6 +95,7 @@ def odd_dates(nodes: DataFrame) -> DataFrame:
 
 
 def all_checks(nodes: DataFrame, strict: str | None = None) -> DataFrame:
+    nodes = cut(nodes)  # written once, read by each check
     none = F.lit(None).cast("string")
     formal = structure(nodes).select("file", "code", "line_no", none.alias("xref"))
     parts = [formal, after_end(nodes), header(nodes, strict), long_lines(nodes, bool(strict)), custom_tags(nodes), orphans(nodes), sexes(nodes), media(nodes), odd_dates(nodes)]
