@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinforge.functions import text
 from kinforge.operators import graph, languages, linkage
 from kinforge.plans import catalog, catalog_files  # noqa: F401
+from kinforge.sources import gedcom
 
 
 @contextlib.contextmanager
@@ -99,3 +100,17 @@ def test_rounds_of_graphs_send_no_tables_to_the_driver(spark, monkeypatch):
     assert {(r["id"], r["depth"]) for r in reach} == {(39 >> k, k) for k in range(7)}
     assert {r["component"] for r in graph.components(people, parents.selectExpr("child as a", "parent as b")).collect()} == {0, 101}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_records_of_one_large_file_are_found_in_parts(spark):
+    lines = spark.range(5000).select(F.lit("one").alias("file"), (F.col("id") * 7 + 1).alias("line_no"), F.when((F.col("id") > 3) & (F.col("id") < 2000) & (F.col("id") % 9 == 4), F.concat(F.lit("0 @I"), F.col("id"), F.lit("@ INDI"))).otherwise("1 NOTE x").alias("raw"))
+    found = gedcom.records(gedcom.parse_lines(lines))
+    assert found.columns[:3] == ["file", "line_no", "raw"] and found.columns[-3:] == ["record_id", "record_tag", "record_xref"]
+    head = None
+    for r in found.orderBy("line_no").collect():
+        k = (r["line_no"] - 1) // 7
+        head = k if 3 < k < 2000 and k % 9 == 4 else head
+        expected = (r["line_no"], "", None) if head is None else (head * 7 + 1, "INDI", f"@I{head}@")
+        assert (r["record_id"], r["record_tag"], r["record_xref"]) == expected
+    sizes = [r["count"] for r in gedcom.in_parts(lines).groupBy("part").count().collect()]
+    assert len(sizes) == gedcom.PARTS and max(sizes) < 100
